@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelens.llm import bitpack, packing
+from tracelens.llm import bitpack, fingerprints, mixing, packing, quality_rules, simhash, url_filters
 from tracelens.llm.common import table
 
 
@@ -21,13 +19,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.write_and_read(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(spark, table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op9_bit_packed_ids": op9_bit_packed_ids}
+    found = (op1_packing, op2_mixing, op5_fingerprints, op7_simhash, op8_quality_rules, op9_bit_packed_ids, op10_url_filters)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL}
