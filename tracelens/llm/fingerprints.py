@@ -20,6 +20,11 @@ from tracelens.llm.common import WORD, Workspace, text_key
 K = 128
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: it is a lambda's variable there, which also keeps generated code small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sketch(text: Column, k: int = K, words: int = 5) -> Column:
     w = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
@@ -27,9 +32,7 @@ def sketch(text: Column, k: int = K, words: int = 5) -> Column:
         full = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
         return F.when(F.size(w) >= words, full).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
 
-    # a one-element array binds the words once for all their uses
-    distinct = F.array_distinct(F.coalesce(F.get(F.transform(F.array(w), hashes), F.lit(0)), F.expr("cast(array() as array<bigint>)")))
-    return F.slice(F.sort_array(distinct), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(F.coalesce(_bound(w, hashes), F.expr("cast(array() as array<bigint>)")))), 1, k)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -39,9 +42,7 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Shared share of the union's shingles: of the union's k least, those in both sketches."""
-    union = merge(a, b, k)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    return _bound(merge(a, b, k), lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
