@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm import bitpack, fingerprints, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filters
+from tracelens.llm import bitpack, fingerprints, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, toxicity, url_filters
 from tracelens.llm.common import crc_mod, table
 
 
@@ -33,6 +33,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, crc_mod(F.col("doc_id"), 5) == 0, 0.3)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(spark, table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_mixing, op3_quality_classifier, op5_fingerprints, op6_toxicity, op7_simhash, op8_quality_rules, op9_bit_packed_ids, op10_url_filters)
+    found = (op1_packing, op2_mixing, op3_quality_classifier, op4_suffix_dedup, op5_fingerprints, op6_toxicity, op7_simhash, op8_quality_rules, op9_bit_packed_ids, op10_url_filters)
     return {f.__name__: f for f in found}
 
 
