@@ -14,7 +14,7 @@ other than doc_id and text are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,8 +171,8 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, batc
     return net
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold: Column | None = None, most: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, score): how likely label 1 is. fold: which rows' labels may be learned from (a condition on doc_id)."""
+def _scorer(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold: Column | None, most: int) -> Callable[[np.ndarray, np.ndarray], list[np.ndarray]]:
+    """Learns, and returns what scores a batch of texts."""
     work = Workspace(spark, "quality-model")
     vectors = word_vectors(work, docs)
     sample = labelled_sample(docs, labels, "quality", fold if fold is not None else F.lit(True), most)
@@ -190,7 +190,28 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold: Column
     def scored(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         return [np.full(len(offsets) - 1, constant) if net is None else net.scores(pooled(data, offsets, vectors))]
 
-    return by_batch(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), scored, "doc_id long, score double")
+    return scored
+
+
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold: Column | None = None, most: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, score): how likely label 1 is. fold: which rows' labels may be learned from (a condition on doc_id)."""
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return by_batch(rows, _scorer(spark, docs, labels, fold, most), "doc_id long, score double")
+
+
+def kept(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MAX_ROWS) -> DataFrame:
+    """The documents that score `threshold` or more, with the columns of `docs`; no row moves."""
+    scores = _scorer(spark, docs, labels, None, most)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column(at))
+            for i, j in slices(offsets, 2 << 20):
+                good = scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] >= threshold
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def learned_fold(doc_id: str = "doc_id") -> Column:

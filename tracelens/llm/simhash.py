@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import Workspace
+from tracelens.llm.common import Workspace, text_key
 from tracelens.llm.graph import components
 from tracelens.llm.textbytes import texts
 
@@ -49,21 +49,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a long."""
+    """(doc_id, dkey, fp): the row's content key and the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch.column(1))
             raw, o = data.tobytes(), offsets.tolist()
             fp = np.array([fingerprint(raw[a:b]) for a, b in zip(o, o[1:])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], names=["doc_id", "dkey", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
-
-
-def _bit(n: Column) -> Column:
-    """1 << n for a column of shifts."""
-    return F.expr("shiftleft(1L, cast(%s as int))" % n) if isinstance(n, str) else F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("doc_id"), F.col("text")).alias("dkey"))
+    return rows.mapInArrow(run, "doc_id long, dkey long, fp long")
 
 
 def _syndrome(v: str) -> str:
@@ -101,7 +97,7 @@ def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000
 
 
 def classes(spark: SparkSession, docs: DataFrame, distance: int = 2, most: int = 2000) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id of the documents linked to it, directly or through others."""
+    """(doc_id, dkey, fp, component_id): the least doc_id of the documents linked to it, directly or through others."""
     work = Workspace(spark, "simhash")
     fps = work.table(fingerprints(docs), "fingerprints")
     nodes = work.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -109,8 +105,21 @@ def classes(spark: SparkSession, docs: DataFrame, distance: int = 2, most: int =
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(nodes.fp.alias("of"), "least", F.coalesce("root", nodes.fp).alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = work.table(rooted.join(first, "root").select("of", "component_id"), "labels")
-    return fps.join(label, fps.fp == label.of).select("doc_id", "fp", "component_id")
+    return fps.join(label, fps.fp == label.of).select("doc_id", "dkey", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, distance: int = 2) -> DataFrame:
+    """One document of each class, with the columns of `docs`: the one that gives the class its id (of rows with that id, the least content key)."""
+    work = Workspace(spark, "simhash-kept")
+    found = work.table(classes(spark, docs, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "dkey"), "kept")
+    # a doc_id is the id of one class, unless several texts share it
+    kept = found.groupBy("doc_id").agg(F.min("dkey").alias("__key"), F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__id")
+    keyed = docs.withColumn("__own", text_key(F.col("doc_id"), F.col("text")))
+    rows = keyed.join(kept.drop("__rows"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
+    if kept.where("__rows > 1").head(1):
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.drop("__own")
