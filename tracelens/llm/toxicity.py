@@ -142,11 +142,12 @@ class Model:
         return sigmoid(self.bias + np.bincount(text, self.weights[voter], len(offsets) - 1))
 
 
-def label_model(votes: np.ndarray, toxic_rate: np.ndarray, clean_rate: np.ndarray, prior: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, toxic_rate: np.ndarray, clean_rate: np.ndarray, prior: float, absence: np.ndarray | None = None, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each row, the voters' rates in both classes, their correlations within classes).
 
     The rates given are where it starts, and weigh as much as the sample's rows do: toxic rows are of several kinds (each
-    language has its own voters), and votes alone would take one kind for a class. A vote's log-likelihood counts 1 / (1 + the positive correlations with the row's other votes); an absent vote's, with all voters.
+    language has its own voters), and votes alone would take one kind for a class. A vote's log-likelihood counts 1 / (1 + the positive correlations with the row's other votes); an absent vote's, with all voters. absence: 0 for voters
+    whose silence says nothing.
     """
     start_a, start_b, held = toxic_rate, clean_rate, len(votes) * prior
     a, b, correlation = toxic_rate.copy(), clean_rate.copy(), np.zeros((votes.shape[1],) * 2)
@@ -154,6 +155,8 @@ def label_model(votes: np.ndarray, toxic_rate: np.ndarray, clean_rate: np.ndarra
     for _ in range(rounds):
         positive = np.maximum(correlation, 0.0)
         miss = np.log((1 - a) / (1 - b)) / (1.0 + positive.sum(axis=1))
+        if absence is not None:
+            miss = miss * absence
         hits = votes / (1.0 + votes @ positive)
         q = sigmoid(np.log(prior / (1 - prior)) + hits @ np.log(a / b) + (1 - votes) @ miss)
         total = q.sum()
@@ -169,13 +172,13 @@ def label_model(votes: np.ndarray, toxic_rate: np.ndarray, clean_rate: np.ndarra
     return q, a, b, correlation
 
 
-def classifier(votes: np.ndarray, q: np.ndarray, decay: float = 1e-4, rounds: int = 1000, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def classifier(votes: np.ndarray, q: np.ndarray, decay: float = 1e-6, rounds: int = 1500, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic weights for soft labels, by Adam on all rows."""
     w, m, v = np.zeros(votes.shape[1] + 1), np.zeros(votes.shape[1] + 1), np.zeros(votes.shape[1] + 1)
     x = np.hstack([votes, np.ones((len(votes), 1))])
     for k in range(1, rounds + 1):
         g = x.T @ (sigmoid(x @ w) - q) / len(q)
-        g[:-1] += decay * w[:-1] * 0.1
+        g[:-1] += decay * w[:-1]
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -215,10 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, most: int = MAX_ROWS)
         need = need - (full[:, best] & (need > 0))
     chosen += [k for k in range(len(fixed)) if k not in chosen]
     votes = full[:, chosen].astype(float)
+    # a toxic text uses few of many terms, so one term's absence says nothing; that no term votes is a vote of its own
+    every_vote = np.hstack([votes, ~votes.any(axis=1, keepdims=True)])
     prior = float(np.clip(y.mean(), 1e-3, 0.5))
-    a = np.clip((toxic[chosen] + 0.5) / (y.sum() + 1), 1e-4, 1 - 1e-4)
-    b = np.clip((every[chosen] - toxic[chosen] + 0.05) / ((1 - y).sum() + 1), 1e-5, 1 - 1e-4)
-    q, *_ = label_model(votes, a, b, prior)
+    a = np.clip((y @ every_vote + 0.5) / (y.sum() + 1), 1e-4, 1 - 1e-4)
+    b = np.clip(((1 - y) @ every_vote + 0.05) / ((1 - y).sum() + 1), 1e-5, 1 - 1e-4)
+    q, *_ = label_model(every_vote, a, b, prior, np.append(np.zeros(votes.shape[1]), 1.0))
     weights, bias = classifier(votes, q)
     return Model(Voters([terms[k] for k in chosen]), weights, bias)
 
