@@ -83,11 +83,11 @@ def edited(spark: SparkSession, docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last quarter is the next document's beginning, and their likeness."""
     work = Workspace(spark, "fingerprints")
     lowest = F.lit(-(1 << 63))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), lowest).alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__key", text_key(F.col("doc_id"), F.col("__text")))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    rows = rows.withColumn("__key", text_key(F.col("__id"), F.col("__text")))
     order = following(work, rows.select("__id", "__key", F.length("__text").alias("__n")))
     repeated = bool(order.where("__rows > 1").head(1))
-    # one exchange of the texts serves both joins
+    # both joins use all these columns, so that one exchange of the texts serves both
     dealt = rows.repartition("__id", "__key")
     asked = order.select(F.col("__id").alias("__of_id"), F.col("__key").alias("__of_key"), F.floor(F.col("__n") / 4).cast("int").alias("__m"), F.col("__next_id").alias("__id"), F.col("__next_key").alias("__key"))
     given = dealt.join(asked, ["__id", "__key"]).select("__of_id", "__of_key", "__m", F.expr("substring(__text, 1, __m)").alias("__head"), sketch(F.col("__text"), k).alias("__next"))
@@ -95,5 +95,5 @@ def edited(spark: SparkSession, docs: DataFrame, k: int = K) -> DataFrame:
         given = given.dropDuplicates(["__of_id", "__of_key"])
     given = given.withColumnsRenamed({"__of_id": "__id", "__of_key": "__key"})
     both = dealt.join(given, ["__id", "__key"]).withColumn("__edit", F.concat(F.expr("substring(__text, 1, length(__text) - __m)"), F.col("__head")))
-    both = both.select("doc_id", F.length("__text").cast("long").alias("n_chars"), F.sha2(F.col("__edit").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("__text"), k).alias("__a"), sketch(F.col("__edit"), k).alias("__b"), "__next")
+    both = both.select(F.nullif(F.col("__id"), lowest).alias("doc_id"), F.length("__text").cast("long").alias("n_chars"), F.sha2(F.col("__edit").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("__text"), k).alias("__a"), sketch(F.col("__edit"), k).alias("__b"), "__next")
     return both.select("doc_id", "n_chars", "edited_sha256", printed(F.col("__a")).alias("fingerprint"), printed(F.col("__b")).alias("edited_fingerprint"), resemblance(F.col("__a"), F.col("__b"), k).alias("near_edited"), resemblance(F.col("__a"), F.col("__next"), k).alias("near_next"), distinct_shingles(F.col("__a"), k).alias("distinct_shingles"))
