@@ -26,9 +26,9 @@ def jump(dropped: DataFrame, rounds: int = 24) -> DataFrame:
     return ends.select("node", F.when(F.col("__at").isNull(), F.col("up")).alias("up"))
 
 
-def relink(kept: DataFrame, dropped: DataFrame, parent: str = "parent", keep_original: bool = True) -> DataFrame:
+def relink(kept: DataFrame, dropped: DataFrame, parent: str = "parent", keep_original: bool = True, rounds: int = 24) -> DataFrame:
     """kept with its parents moved past dropped (node, up). A chain that ends nowhere leaves the parent, or nulls it."""
-    ends = jump(dropped).selectExpr("node AS __node", "up AS __up")
+    ends = jump(dropped, rounds).selectExpr("node AS __node", "up AS __up")
     moved = kept.join(ends, F.col(parent) == F.col("__node"), "left")
     new = F.when(F.col("__node").isNull(), F.col(parent)).otherwise(F.coalesce("__up", parent) if keep_original else F.col("__up"))
     return moved.withColumn("new_parent", new).drop("__node", "__up")

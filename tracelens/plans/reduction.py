@@ -25,6 +25,11 @@ class Reduced:
     after: DataFrame
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, if it has one: what follows reads it many times."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def _kept(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records that stay, with new parents; (session_id, name) of each dropped one)"""
     protected = reduce.is_protected(F.col("type"), F.col("subtype"), F.col("is_compact_summary"), F.col("visible_only"), F.col("preserved"))
@@ -50,7 +55,7 @@ def _kept(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _edits(kept: DataFrame, profile: str) -> DataFrame:
     """(session_id, pos, bi, op, field, value, stat): the first rule that fits a block edits it."""
     blks = transcripts.blocks(kept).where("btype IN ('text', 'thinking', 'tool_result')")
-    events = transcripts.verb_events(transcripts.blocks(kept))
+    events = _cut(transcripts.verb_events(transcripts.blocks(kept)))
     place = reduce.with_aggressiveness(kept.select("session_id", "pos", "protected"))
     uses = transcripts.blocks(kept).where("btype = 'tool_use'").groupBy("session_id", "tool_use_id").agg(F.max_by("tool_name", F.struct("pos", "bi")).alias("used"))
     rows = blks.join(place, ["session_id", "pos"]).join(uses, ["session_id", "tool_use_id"], "left")
@@ -87,10 +92,11 @@ def _edits(kept: DataFrame, profile: str) -> DataFrame:
 def reduce_transcripts(recs: DataFrame, profile: str = "standard") -> Reduced:
     """kept records with edited text, the edits, counts by name, and densities before and after."""
     kept, dropped = _kept(recs)
+    kept = _cut(kept)
     calls = transcripts.blocks(kept)
     lone = joins.orphans(calls.where("btype = 'tool_result'").select("session_id", "pos", "bi", "tool_use_id"), calls.where("btype = 'tool_use' AND tool_use_id <> ''").select("session_id", "tool_use_id"), ["session_id", "tool_use_id"])
-    edits = _edits(kept, profile)
-    done = transcripts.apply_edits(kept, edits.select("session_id", "pos", "bi", "op", "field", "value"))
+    edits = _cut(_edits(kept, profile))
+    done = _cut(transcripts.apply_edits(kept, edits.select("session_id", "pos", "bi", "op", "field", "value")))
     counted = dropped.unionByName(edits.select("session_id", F.col("stat").alias("name"))).unionByName(lone.select("session_id", F.lit("orphaned_tool_results_found").alias("name"))).unionByName(kept.where("reparented").select("session_id", F.lit("reparented").alias("name")))
     stats = counted.groupBy("session_id", "name").agg(F.count(F.lit(1)).alias("value"))
     size = F.length("raw")
