@@ -12,7 +12,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # fixed values: categories by route
 ROUTES = {
@@ -66,7 +66,7 @@ def classify(rows: DataFrame, provider: Provider, batch: int = 20, clip: int = 5
                 out += parse_categories(provider.classify(texts[k : k + batch]), len(texts[k : k + batch]))
             yield part.assign(category=out)
 
-    return rows.mapInPandas(run, StructType(rows.schema.fields).add("category", StringType()))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("category", StringType())]))
 
 
 def distill(rows: DataFrame, provider: Provider, profile: str = "standard", above: float = 0.2, least: int = 200) -> DataFrame:

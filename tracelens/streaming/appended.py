@@ -93,7 +93,7 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def counts_by_window(events: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events of each type by tumbling window, late ones up to the watermark."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def blind_edits(events: DataFrame) -> DataFrame:
