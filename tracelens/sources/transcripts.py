@@ -123,7 +123,7 @@ def _plain(o: dict) -> dict:
     return {
         "type": s(o.get("type")), "subtype": s(o.get("subtype")) or s(m.get("subtype")), "role": s(m.get("role")), "uuid": s(o.get("uuid")), "parent_uuid": s(o.get("parentUuid")), "logical_parent_uuid": s(o.get("logicalParentUuid")),
         "ts": s(o.get("timestamp")), "message_id": s(o.get("messageId")), "content_shape": shape, "content_str": m.get("content") if shape == "str" else None, "is_sidechain": bool(o.get("isSidechain")),
-        "is_compact_summary": bool(o.get("isCompactSummary")), "visible_only": bool(o.get("isVisibleInTranscriptOnly")), "preserved": bool(o.get("__reduce_session_preserved__")), "usage": _usage(m.get("usage")), "blocks": blocks,
+        "is_compact_summary": bool(o.get("isCompactSummary")), "visible_only": bool(o.get("isVisibleInTranscriptOnly")), "preserved": any(k.startswith("__") and k.endswith("_preserved__") and bool(v) for k, v in o.items()), "usage": _usage(m.get("usage")), "blocks": blocks,
     }
 
 
