@@ -37,9 +37,9 @@ from tracelens.llm.suffixes import repeated_starts
 from tracelens.llm.textbytes import Sums, slices, texts
 
 ANCHOR = 128
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Distinct run texts (about 540 bytes each) that a shard should hold.
-SHARD = 2500
+SHARD = 1800
 RUNS = "did long, dkey long, a int, n int, h long, seg long"
 
 
@@ -175,7 +175,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _covered(work: Workspace, dealt: DataFrame, rows: DataFrame, length: int, shard: int) -> DataFrame:
     """(did, dkey, spans): for each text with repeats, a list of the first and last start of runs of repeated strings."""
     listed = work.table(_list_runs(rows, length), "runs")
-    anchors = listed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).where("c > 1").selectExpr("h", "s1 = s2 AS same")
+    # written down, so that the join below is of two plain exchanges, which Spark can split where one anchor is frequent
+    anchors = work.table(listed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).where("c > 1").selectExpr("h", "s1 = s2 AS same"), "anchors")
     met = work.table(listed.join(anchors, "h"), "met")
     distinct = work.table(met.where("NOT same").groupBy("h", "seg").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("did", "dkey", "a", "n")).alias("x")), "distinct")
     work.drop("runs")
@@ -207,11 +208,12 @@ def _spans(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def _apply(spark: SparkSession, docs: DataFrame, rows: DataFrame, work_on: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, length: int, shard: int) -> DataFrame:
-    """rows: keyed rows with what is carried. The texts are dealt by key once, for the shards and for the removal."""
+    """rows: keyed rows with what is carried. The texts are dealt by key for the shards and, as those are written down between, again for the removal."""
     work = Workspace(spark, "suffix-dedup")
     dealt = rows.repartition("did", "dkey")
     covered = _covered(work, dealt.select("did", "dkey", "text"), rows, length, shard)
-    joined = dealt.join(covered, ["did", "dkey"], "left").drop("did", "dkey")
+    joined = dealt.join(covered, ["did", "dkey"], "left")
+    joined = joined.withColumn("doc_id", F.nullif(F.col("did"), F.lit(-(1 << 63)))).drop("did", "dkey")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     carried = [c for c in joined.columns if c not in ("text", "spans")]
     made_schema = ", ".join([f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in carried] + [schema])
@@ -239,8 +241,7 @@ def report(spark: SparkSession, docs: DataFrame, length: int = 400, shard: int =
         digest.update(data[at:])
         return len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()
 
-    rows = _keyed(docs).withColumn("doc_id", F.nullif(F.col("did"), F.lit(-(1 << 63))))
-    return _apply(spark, docs, rows, work_on, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, shard)
+    return _apply(spark, docs, _keyed(docs), work_on, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, shard)
 
 
 def kept_text(data: bytes, spans: list[tuple[int, int]]) -> str:
