@@ -96,15 +96,20 @@ def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000
     return pairs.unionAll(points.join(least, "point").where("fp <> u").selectExpr("u", "fp AS v"))
 
 
-def classes(spark: SparkSession, docs: DataFrame, distance: int = 2, most: int = 2000) -> DataFrame:
-    """(doc_id, dkey, fp, component_id): the least doc_id of the documents linked to it, directly or through others."""
+def rooted(spark: SparkSession, docs: DataFrame, distance: int = 2, most: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, dkey, fp) of each row, and (of, root, component_id) of each distinct fingerprint."""
     work = Workspace(spark, "simhash")
     fps = work.table(fingerprints(docs), "fingerprints")
     nodes = work.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = work.table(components(work, links(work, nodes.select("fp"), distance, most)), "roots")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(nodes.fp.alias("of"), "least", F.coalesce("root", nodes.fp).alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = work.table(rooted.join(first, "root").select("of", "component_id"), "labels")
+    own = nodes.join(roots, nodes.fp == roots.node, "left").select(nodes.fp.alias("of"), "least", F.coalesce("root", nodes.fp).alias("root"))
+    first = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps, work.table(own.join(first, "root").select("of", "root", "component_id"), "labels")
+
+
+def classes(spark: SparkSession, docs: DataFrame, distance: int = 2, most: int = 2000) -> DataFrame:
+    """(doc_id, dkey, fp, component_id): the least doc_id of the documents linked to it, directly or through others."""
+    fps, label = rooted(spark, docs, distance, most)
     return fps.join(label, fps.fp == label.of).select("doc_id", "dkey", "fp", "component_id")
 
 
@@ -112,14 +117,20 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, distance: int = 2) -> DataFrame:
-    """One document of each class, with the columns of `docs`: the one that gives the class its id (of rows with that id, the least content key)."""
-    work = Workspace(spark, "simhash-kept")
-    found = work.table(classes(spark, docs, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "dkey"), "kept")
-    # a doc_id is the id of one class, unless several texts share it
-    kept = found.groupBy("doc_id").agg(F.min("dkey").alias("__key"), F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__id")
+def survivors(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of `docs` for each root of found (doc_id, dkey, root): that of the least doc_id, null last, then the least content key."""
+    work = Workspace(spark, "survivors")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("dkey").alias("key"), F.col("count").alias("rows"))
+    kept = work.table(found.groupBy("root", "doc_id", "dkey").count().groupBy("root").agg(F.min(order).alias("o")).selectExpr("o.id AS __id", "o.key AS __key", "o.rows > 1 AS __many"), "kept")
     keyed = docs.withColumn("__own", text_key(F.col("doc_id"), F.col("text")))
-    rows = keyed.join(kept.drop("__rows"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
-    if kept.where("__rows > 1").head(1):
-        rows = rows.dropDuplicates(["doc_id"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    rows = keyed.join(kept.select("__id", "__key"), same, "left_semi")
+    if kept.where("__many").head(1):  # the survivor may itself be repeated
+        rows = rows.dropDuplicates(["doc_id", "__own"])
     return rows.drop("__own")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, distance: int = 2) -> DataFrame:
+    """One document of each class, with the columns of `docs`."""
+    fps, label = rooted(spark, docs, distance)
+    return survivors(spark, docs, fps.join(label, fps.fp == label.of).select("doc_id", "dkey", "root"))
