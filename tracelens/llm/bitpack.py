@@ -93,7 +93,7 @@ class PackedFile:
         return np.concatenate(out)[i - first : j - first]
 
 
-def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, block: int = 4096, file_ids: int = 4 << 20) -> DataFrame:
+def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, block: int = 4096, file_ids: int = 4 << 20, markers: bool = False) -> DataFrame:
     """Writes all documents (doc_id, text) under `folder` (any store that pyarrow opens) and returns the list of files.
 
     A task writes files of names of its own and lists them as its rows, so only what a task that succeeded wrote is ever
@@ -105,7 +105,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        encode, task, number = encoder(tokenizer_path, False), TaskContext.get().partitionId(), 0
+        encode, task, number = encoder(tokenizer_path, False, markers), TaskContext.get().partitionId(), 0
         bits = bits_for(max(encode.vocabulary, end_id + 1))
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -172,7 +172,7 @@ def read_packed(manifest: DataFrame) -> DataFrame:
     return files.repartition(F.col("path")).mapInArrow(run, RESULT)
 
 
-def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2, markers: bool = False) -> DataFrame:
     work = Workspace(spark, "token-ids")
-    manifest = work.table(write_packed(docs, f"{work.path}/ids", tokenizer_path, end_id), "manifest")
+    manifest = work.table(write_packed(docs, f"{work.path}/ids", tokenizer_path, end_id, markers=markers), "manifest")
     return read_packed(manifest)

@@ -117,12 +117,12 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, max_open: int = 4096) -> DataFrame:
-    """Pieces of all documents (doc_id, text) in windows of `size` tokens; each document's ids end with end_id."""
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, max_open: int = 4096, markers: bool = False) -> DataFrame:
+    """Pieces of all documents (doc_id, text) in windows of `size` tokens; each document's ids end with end_id. markers: see tokens.py."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(size, TaskContext.get().partitionId() * PER_TASK, max_open)
-        encode = encoder(tokenizer_path, True)
+        encode = encoder(tokenizer_path, True, markers)
         for batch in batches:
             data, offsets = texts(batch.column(1))
             doc_ids = batch.column(0).to_pylist()

@@ -16,7 +16,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, size=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, size=2048, markers=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitpack.write_and_read(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return bitpack.write_and_read(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, markers=True)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 Both vocabularies split a text before the model sees it. A lone blank or line break between two other characters is always
 such a split, and so is a place between a letter and a punctuation mark other than an apostrophe. So the ids of a text are
 those of such pieces, one after the other; each is encoded once and looked up after that. Texts with white space side by side, where a split depends on what follows, go to the tokenizer whole.
+With `markers`, as the queries have it, an added token that a text spells out (<|endoftext|>) is its one id, which is what the
+file gives by default; such texts go to the tokenizer whole. Without, its letters are encoded like any others.
 Pieces are known by a 64-bit hash of their bytes
 and length (two that a worker holds at once share one with odds of about 1 in 10**8). The memory is bounded and starts
 afresh when full.
@@ -19,7 +21,7 @@ from tracelens.llm.textbytes import SPACE, Sums
 from tracelens.llm.wordbpe import WordBPE
 
 _WIDE_SPACE = re.compile(rb"[\x00\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_LOADED: dict[tuple[str, bool], "WordEncoder"] = {}
+_LOADED: dict[tuple[str, bool, bool], "WordEncoder"] = {}
 MAX_WORDS = 700_000
 JOINED = 2000
 #: Bytes of text worked on at a time.
@@ -54,17 +56,17 @@ def plain_letters(data: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """leading: a blank belongs to the word after it (byte-level BPE); else blanks are dropped (word BPE)."""
 
-    def __init__(self, path: str, leading: bool):
+    def __init__(self, path: str, leading: bool, markers: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.plain, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.plain.encode_special_tokens = not markers
         self.vocabulary = self.plain.get_vocab_size(with_added_tokens=True)
         added = self.plain.get_added_tokens_decoder()
         self.part, self.mark = max((i, t.content) for i, t in added.items())
         self.specials = [t.content.encode() for t in added.values()]
-        self.leading = leading
+        self.leading, self.markers = leading, markers
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self._forget()
         self.simple = WordBPE(path)
@@ -117,15 +119,19 @@ class WordEncoder:
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts that are encoded whole."""
+        out = np.zeros(len(offsets) - 1, bool)
+        if self.markers:
+            raw = data.tobytes()
+            found = [m.start() for s in self.specials for m in re.finditer(re.escape(s), raw)]
+            out[np.searchsorted(offsets, np.array(found, np.int64), "right") - 1] = True
         if not self.leading or not len(data):
-            return np.zeros(len(offsets) - 1, bool)
+            return out
         space = SPACE[data]
         at = np.flatnonzero(space[1:] & space[:-1]) + 1
         at = at[~np.isin(at, offsets)]
         more = np.flatnonzero(_WIDE_LEAD[data])
         if len(more):  # few: other white space, of one to three bytes
             more = np.array([i for i in more.tolist() if _WIDE_SPACE.match(data[i : i + 3].tobytes())], np.int64)
-        out = np.zeros(len(offsets) - 1, bool)
         out[np.searchsorted(offsets, np.concatenate([at, more]), "right") - 1] = True
         return out
 
@@ -189,8 +195,8 @@ class WordEncoder:
         return ids, total
 
 
-def encoder(path: str, leading: bool) -> WordEncoder:
+def encoder(path: str, leading: bool, markers: bool = False) -> WordEncoder:
     """One encoder in a worker, kept from task to task."""
-    if (path, leading) not in _LOADED:
-        _LOADED[path, leading] = WordEncoder(path, leading)
-    return _LOADED[path, leading]
+    if (path, leading, markers) not in _LOADED:
+        _LOADED[path, leading, markers] = WordEncoder(path, leading, markers)
+    return _LOADED[path, leading, markers]
