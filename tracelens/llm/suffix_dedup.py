@@ -1,17 +1,18 @@
 """Removal of long repeated strings by suffix arrays over shards of candidate texts.
 
 A string of `length` bytes that starts at two places is removed at both, together with all overlapping ones. Every string
-of that length has an anchor: of the 128-byte strings in it, the leftmost with the least hash. Neighbouring strings share
-anchors, so a text falls into runs of starts with one anchor each; equal strings lie in runs with equal anchors, at the
-same distance from them. So:
+of that length has an anchor: of the strings of a third of its length (128 bytes at most) in it, the leftmost with the least
+hash. Neighbouring strings share anchors, so a text falls into runs of starts with one anchor each; equal strings lie in
+runs with equal anchors, at the same distance from them. So:
 
 1. each text's runs are listed: place, number of starts, hash of the anchor, hash of the run's text;
-2. anchors met once are dropped; where all runs of an anchor have the same text, all of it repeats;
+2. anchors met once are dropped;
 3. the other anchors' distinct run texts, each once with its number of copies, are dealt to shards by anchor. A shard's
    suffix array (suffixes.py) and common prefixes give the classes of equal strings, and a class that weighs two or more
    repeats;
-4. an anchor with more distinct run texts than a shard should hold is split over several. Their sorted lists of distinct
-   strings, as 128-bit digests, are cut into ranges and merged range by range by binary search;
+4. an anchor with more distinct run texts than a shard should hold is split over several. Each of them cuts its sorted list
+   of distinct strings, as 96-bit digests, into ranges, one packed row for each; lists of one range are merged by binary
+   search, and what two of them hold goes back to its shards;
 5. what repeats goes back to the runs and to their texts, where it is removed.
 
 Steps 1 and 2 lose nothing, and a false match there only adds candidates. Equal hashes of run texts (64 bits, beside an
@@ -36,21 +37,29 @@ from tracelens.llm.common import Workspace, text_key
 from tracelens.llm.suffixes import repeated_starts
 from tracelens.llm.textbytes import Sums, slices, texts
 
-ANCHOR = 128
 BATCH = 1 << 20
 #: Distinct run texts (about 540 bytes each) that a shard should hold.
 SHARD = 1800
 RUNS = "did long, dkey long, a int, n int, h long, seg long"
 
 
+#: One string of a split anchor's shard: digests, its text's number in the shard, its start, and whether it is known to repeat.
+STRING = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("text", "<u4"), ("start", "<u4"), ("known", "u1")])
+
+
+def anchor_length(length: int) -> int:
+    return max(1, min(128, length // 3))
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, start, number of starts, anchor hash, run hash) of each run of the texts."""
-    n, wide = len(data), length - ANCHOR + 1
+    anchor = anchor_length(length)
+    n, wide = len(data), length - anchor + 1
     size = np.diff(offsets)
     long = np.flatnonzero(size >= length)
     if not len(long):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    hashes = Sums(data).windows(ANCHOR)
+    hashes = Sums(data).windows(anchor)
     bits = np.uint64(max(22, int(n).bit_length()))
     best = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
@@ -86,7 +95,7 @@ def _list_runs(docs: DataFrame, length: int) -> DataFrame:
 
 def _cut(asked: DataFrame, length: int) -> DataFrame:
     """The run texts asked for, from rows of (text, list of runs)."""
-    schema = "shard long, h long, seg long, m long, hot boolean, body binary"
+    schema = "shard long, h long, seg long, m long, parts int, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +103,10 @@ def _cut(asked: DataFrame, length: int) -> DataFrame:
             raw = memoryview(data.tobytes())
             for k, asks in enumerate(batch.column(1)):
                 base, wanted = int(offsets[k]), asks.as_py()
-                columns = [[x[c] for x in wanted] for c in ("shard", "h", "seg", "m", "hot")]
+                columns = [[x[c] for x in wanted] for c in ("shard", "h", "seg", "m", "parts")]
                 body = [bytes(raw[base + x["a"] : base + x["a"] + x["n"] + length - 1]) for x in wanted]
-                arrays = [pa.array(v, pa.bool_() if c == 4 else pa.int64()) for c, v in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(body, pa.binary())], names=["shard", "h", "seg", "m", "hot", "body"])
+                arrays = [pa.array(v, pa.int32() if c == 4 else pa.int64()) for c, v in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(body, pa.binary())], names=["shard", "h", "seg", "m", "parts", "body"])
 
     return asked.mapInArrow(run, schema)
 
@@ -113,59 +122,87 @@ def _ranges(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[begin], start[begin], start[np.minimum(end, len(start) - 1)] if len(start) else start
 
 
-FOUND = "h long, seg long, f int, t int, d1 long, d2 long, part long"
+FOUND = "h long, seg long, f int, t int, shard long, range int, packed binary"
+REPEATS = "h long, seg long, f int, t int"
+
+
+def _found(h: np.ndarray, seg: np.ndarray, f: np.ndarray, t: np.ndarray) -> list[pa.Array]:
+    return [pa.array(h), pa.array(seg), pa.array(f.astype(np.int32)), pa.array(t.astype(np.int32))]
 
 
-def _found(h: np.ndarray, seg: np.ndarray, f: np.ndarray, t: np.ndarray, d1: np.ndarray | None = None, d2: np.ndarray | None = None, part: int | None = None) -> pa.Table:
-    n = len(h)
-    more = [pa.nulls(n, pa.int64())] * 3 if d1 is None else [pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.full(n, part))]
-    return pa.table([pa.array(h), pa.array(seg), pa.array(f.astype(np.int32)), pa.array(t.astype(np.int32)), *more], names=["h", "seg", "f", "t", "d1", "d2", "part"])
+def _names(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
 
 
 def _shards(cut: DataFrame, length: int) -> DataFrame:
-    """Starts first to last of each run text that repeat in its shard; of anchors split over shards, also each distinct
-    string's digests with its place, last being -1 if it is known to repeat."""
+    """Starts first to last of each run text that repeat in its shard. A shard of a split anchor also gives its run texts'
+    hashes (range -1) and, for each range of digests that it has any in, its distinct strings in order of digest."""
 
     def run(table: pa.Table) -> pa.Table:
         bodies = table.column("body").to_pylist()
         h, seg, m = (table.column(c).to_numpy() for c in ("h", "seg", "m"))
         text, start, group = repeated_starts(bodies, length)
-        weight = np.bincount(group, m[text])
-        hit = weight[group] >= 2
-        t, first, last = _ranges(text[hit], start[hit])
-        out = [_found(h[t], seg[t], first, last)]
-        if table.column("hot")[0].as_py():
+        known = np.bincount(group, m[text])[group] >= 2
+        t, first, last = _ranges(text[known], start[known])
+        rows = [*_found(h[t], seg[t], first, last), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int32()), pa.nulls(len(t), pa.binary())]
+        out = [pa.table(rows, names=_names(FOUND))]
+        parts = table.column("parts")[0].as_py()
+        if parts:
             once = np.unique(group, return_index=True)[1]
-            text, start, hit = text[once], start[once], hit[once]
-            data, offsets = texts(pa.array(bodies, pa.binary()).view(pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
-            at = offsets[text] + start
-            d = [Sums(data, k).spans(at, at + length) for k in (0, 1)]
-            out.append(_found(h[text], seg[text], start, np.where(hit, -1, start), d[0], d[1], table.column("shard")[0].as_py()))
+            data, offsets = texts(pa.array(bodies, pa.large_binary()).view(pa.large_string()))
+            at = offsets[text[once]] + start[once]
+            strings = np.empty(len(once), STRING)
+            strings["d1"], d2 = (Sums(data, k).spans(at, at + length) for k in (0, 1))
+            strings["d2"], strings["text"], strings["start"], strings["known"] = d2 >> np.uint64(32), text[once], start[once], known[once]
+            strings.sort(order=["d1", "d2"])
+            place = (strings["d1"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            edges = np.searchsorted(place, np.arange(parts + 1))
+            ranges = np.flatnonzero(np.diff(edges))
+            packed = [seg.tobytes(), *[strings[edges[r] : edges[r + 1]].tobytes() for r in ranges]]
+            n, none = len(packed), [pa.nulls(len(packed), k) for k in (pa.int64(), pa.int32(), pa.int32())]
+            own = [pa.array(np.full(n, h[0])), *none, pa.array(np.full(n, table.column("shard")[0].as_py())), pa.array(np.append(-1, ranges).astype(np.int32)), pa.array(packed, pa.binary())]
+            out.append(pa.table(own, names=_names(FOUND)))
         return pa.concat_tables(out)
 
     return cut.groupBy("shard").applyInArrow(run, FOUND)
 
 
-def _merged(lists: DataFrame, split: DataFrame) -> DataFrame:
-    """(h, seg, f, t) of strings that are alone in their shard but occur in another shard of the same anchor."""
+def _in_two(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of several shards' sorted lists, which of its strings another list has too. A list holds a string once."""
+    every = np.sort(np.concatenate([x["d1"] for x in lists]))
+    out = [np.searchsorted(every, x["d1"], "right") - np.searchsorted(every, x["d1"], "left") > 1 for x in lists]
+    # the few that share the first digest are compared by the second too
+    some = np.concatenate([x[o][["d1", "d2"]] for x, o in zip(lists, out, strict=True)])
+    pair, count = np.unique(some, return_counts=True)
+    twice = pair[count > 1]
+    for x, o in zip(lists, out, strict=True):
+        o[o] = np.isin(x[o][["d1", "d2"]], twice)
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        d1, d2 = (table.column(c).to_numpy().view(np.uint64) for c in ("d1", "d2"))
-        order = np.lexsort((d2, d1))
-        d1, d2 = d1[order], d2[order]
-        # a list holds a string once, so one that the merged list holds twice is in two lists
-        left, right = np.searchsorted(d1, d1, "left"), np.searchsorted(d1, d1, "right")
-        twice = right - left > 1
-        same = np.zeros(len(d1), bool)
-        same[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
-        same[:-1] |= same[1:]
-        keep = order[twice & same]
-        f, t = table.column("f").to_numpy()[keep], table.column("t").to_numpy()[keep]
-        new = t >= 0
-        return pa.table([pa.array(table.column("h").to_numpy()[keep][new]), pa.array(table.column("seg").to_numpy()[keep][new]), pa.array(f[new]), pa.array(t[new])], names=["h", "seg", "f", "t"])
-
-    ranges = lists.join(split.select("h", "parts"), "h").withColumn("range", F.xxhash64("h", F.pmod(F.shiftrightunsigned("d1", 1), F.col("parts"))))
-    return ranges.drop("parts").groupBy("range").applyInArrow(run, "h long, seg long, f int, t int")
+
+def _merged(packed: DataFrame, work: Workspace) -> DataFrame:
+    """REPEATS of strings that are alone in their shard but occur in another shard of the same anchor."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, STRING) for x in table.column("packed").to_pylist()]
+        own = [x[new & (x["known"] == 0)] for x, new in zip(lists, _in_two(lists), strict=True)]
+        some = [k for k, x in enumerate(own) if len(x)]
+        packed = [np.stack([own[k]["text"], own[k]["start"]], axis=1).astype("<u4").tobytes() for k in some]
+        some = pa.array(some, pa.int64())
+        return pa.table([table.column("h").take(some), table.column("shard").take(some), pa.array(packed, pa.binary())], names=["h", "shard", "packed"])
+
+    def back(table: pa.Table) -> pa.Table:
+        first = [k for k, r in enumerate(table.column("range").to_pylist()) if r == -1][0]
+        packed = table.column("packed").to_pylist()
+        seg = np.frombuffer(packed[first], np.int64)
+        pairs = np.concatenate([np.zeros((0, 2), np.uint32), *[np.frombuffer(p, "<u4").reshape(-1, 2) for k, p in enumerate(packed) if k != first]])
+        t, f, last = _ranges(pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64))
+        return pa.table(_found(np.full(len(t), table.column("h")[0].as_py(), np.int64), seg[t], f, last), names=_names(REPEATS))
+
+    lists = packed.where("range >= 0").groupBy("h", "range").applyInArrow(merge, "h long, shard long, packed binary")
+    met = work.table(lists, "merged").withColumn("range", F.lit(0))
+    owners = packed.where("range = -1").select("h", "shard", "packed", "range").join(met.select("shard").distinct(), "shard", "left_semi")
+    return met.select("h", "shard", "packed", "range").unionAll(owners.select("h", "shard", "packed", "range")).groupBy("shard").applyInArrow(back, REPEATS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -176,24 +213,23 @@ def _covered(work: Workspace, dealt: DataFrame, rows: DataFrame, length: int, sh
     """(did, dkey, spans): for each text with repeats, a list of the first and last start of runs of repeated strings."""
     listed = work.table(_list_runs(rows, length), "runs")
     # written down, so that the join below is of two plain exchanges, which Spark can split where one anchor is frequent
-    anchors = work.table(listed.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).where("c > 1").selectExpr("h", "s1 = s2 AS same"), "anchors")
+    anchors = work.table(listed.groupBy("h").count().where("count > 1").select("h"), "anchors")
     met = work.table(listed.join(anchors, "h"), "met")
-    distinct = work.table(met.where("NOT same").groupBy("h", "seg").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("did", "dkey", "a", "n")).alias("x")), "distinct")
+    distinct = work.table(met.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("did", "dkey", "a", "n")).alias("x")), "distinct")
     work.drop("runs")
     total = distinct.count()
     # at most as many as there are shards
-    split = work.table(distinct.groupBy("h").count().where(F.col("count") > shard).selectExpr("h", f"cast(ceil(count / {shard / 2}) AS long) AS parts"), "split")
-    placed = distinct.join(split, "h", "left").withColumn("hot", F.col("parts").isNotNull())
-    placed = placed.withColumn("shard", F.when(F.col("hot"), F.xxhash64("h", F.pmod("seg", "parts"))).otherwise(F.pmod(F.xxhash64("h"), F.lit(-(-total // shard) or 1))))
-    asked = placed.groupBy(F.col("x.did").alias("did"), F.col("x.dkey").alias("dkey")).agg(F.collect_list(F.struct("shard", "h", "seg", "m", "hot", "x.a", "x.n")).alias("asks"))
+    split = work.table(distinct.groupBy("h").count().where(F.col("count") > shard).selectExpr("h", f"cast(ceil(count / {shard / 2}) AS int) AS parts"), "split")
+    placed = distinct.join(split, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    placed = placed.withColumn("shard", F.when(F.col("parts") > 0, F.xxhash64("h", F.pmod("seg", "parts"))).otherwise(F.pmod(F.xxhash64("h"), F.lit(-(-total // shard) or 1))))
+    asked = placed.groupBy(F.col("x.did").alias("did"), F.col("x.dkey").alias("dkey")).agg(F.collect_list(F.struct("shard", "h", "seg", "m", "parts", "x.a", "x.n")).alias("asks"))
     cut = _cut(dealt.join(asked, ["did", "dkey"]).select("text", "asks"), length)
     found = work.table(_shards(cut, length), "found")
-    repeats = found.where("d1 IS NULL").select("h", "seg", "f", "t")
+    repeats = found.where("packed IS NULL").select("h", "seg", "f", "t")
     if split.head(1):
-        repeats = repeats.unionAll(_merged(found.where("d1 IS NOT NULL"), split))
-    whole = met.where("same").selectExpr("did", "dkey", "a AS f", "a + n - 1 AS t")
-    partly = met.where("NOT same").join(repeats, ["h", "seg"]).selectExpr("did", "dkey", "a + f AS f", "a + t AS t")
-    return whole.unionAll(partly).groupBy("did", "dkey").agg(F.collect_list(F.struct("f", "t")).alias("spans"))
+        repeats = repeats.unionAll(_merged(found.where("packed IS NOT NULL"), work))
+    spans = met.join(repeats, ["h", "seg"]).selectExpr("did", "dkey", "a + f AS f", "a + t AS t")
+    return spans.groupBy("did", "dkey").agg(F.collect_list(F.struct("f", "t")).alias("spans"))
 
 
 def _spans(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -207,7 +243,7 @@ def _spans(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _apply(spark: SparkSession, docs: DataFrame, rows: DataFrame, work_on: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, length: int, shard: int) -> DataFrame:
+def _apply(spark: SparkSession, rows: DataFrame, work_on: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, length: int, shard: int) -> DataFrame:
     """rows: keyed rows with what is carried. The texts are dealt by key for the shards and, as those are written down between, again for the removal."""
     work = Workspace(spark, "suffix-dedup")
     dealt = rows.repartition("did", "dkey")
@@ -241,7 +277,7 @@ def report(spark: SparkSession, docs: DataFrame, length: int = 400, shard: int =
         digest.update(data[at:])
         return len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()
 
-    return _apply(spark, docs, _keyed(docs), work_on, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, shard)
+    return _apply(spark, _keyed(docs), work_on, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, shard)
 
 
 def kept_text(data: bytes, spans: list[tuple[int, int]]) -> str:
@@ -262,6 +298,6 @@ def deduplicated(spark: SparkSession, docs: DataFrame, length: int = 400, shard:
     carried = [c for c in docs.columns if c != "text"]
     own = {c: f"__{k}" for k, c in enumerate(carried)}
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), text_key(F.col("doc_id"), F.col("text")).alias("dkey"), "text", *[F.col(c).alias(n) for c, n in own.items()])
-    done = _apply(spark, docs, rows, lambda data, spans: (kept_text(data, spans),), "kept string", length, shard)
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), text_key(F.col("doc_id"), F.col("text")).alias("dkey"), "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    done = _apply(spark, rows, lambda data, spans: (kept_text(data, spans),), "kept string", length, shard)
     return done.select(*[F.col("kept" if c == "text" else own[c]).alias(c) for c in docs.columns])
