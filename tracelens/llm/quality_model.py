@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import Workspace, crc_mod
-from tracelens.llm.learning import by_batch, labelled_sample, sigmoid
+from tracelens.llm.learning import BATCH, by_batch, labelled_sample, sigmoid
 from tracelens.llm.textbytes import Sums, mix, slices, texts, words
 
 ROWS, DIMS, NONZERO = 1 << 13, 64, 2
@@ -81,7 +81,7 @@ def word_vectors(work: Workspace, docs: DataFrame) -> np.ndarray:
         table = np.zeros(ROWS * DIMS)
         for batch in batches:
             data, offsets = texts(batch.column(0))
-            for i, j in slices(offsets, 2 << 20):
+            for i, j in slices(offsets, BATCH):
                 spelling, _, count = terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 owner = np.repeat(np.arange(j - i), count)
                 left = np.flatnonzero(owner[1:] == owner[:-1])  # word and its right neighbour, in one text
@@ -207,7 +207,7 @@ def kept(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch.column(at))
-            for i, j in slices(offsets, 2 << 20):
+            for i, j in slices(offsets, BATCH):
                 good = scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] >= threshold
                 yield batch.slice(i, j - i).filter(pa.array(good))
 

@@ -25,7 +25,7 @@ _LOADED: dict[tuple[str, bool, bool], "WordEncoder"] = {}
 MAX_WORDS = 700_000
 JOINED = 2000
 #: Bytes of text worked on at a time.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
