@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from tracelens.llm.tokens import BATCH, encoder
 HEAD = struct.Struct("<4sIIIQQ")
 MAGIC, VERSION = b"TLBP", 1
 NO_ID = -(1 << 63)
+#: Bytes read at once for a file's checksum, ids at once for documents' checksums, and files that one task reads where there are many.
+CHUNK, AT_ONCE, FILES, READ_TASKS = 1 << 20, 1 << 20, 4, 10_000
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 MANIFEST = "task long, file_no long, path string, n_docs long, n_ids long"
 
@@ -67,30 +70,42 @@ def encode_file(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, bi
 
 
 class PackedFile:
-    """A file's contents. `ids(i, j)` reads the blocks that hold ids i to j and no others."""
-
-    def __init__(self, data: bytes, check: bool = True):
-        magic, version, self.bits, self.block, n_docs, self.n_ids = HEAD.unpack_from(data)
-        if magic != MAGIC or version != VERSION:
+    """An open file (seek and read). `ids(i, j)` reads the blocks that hold ids i to j and no others; memory holds the file's
+    table of documents and blocks, and the blocks of one call."""
+
+    def __init__(self, source: BinaryIO, check: bool = True):
+        self.source = source
+        size = source.seek(0, 2)
+        head = self._read(0, HEAD.size)
+        if len(head) < HEAD.size or head[:4] != MAGIC or HEAD.unpack(head)[1] != VERSION:
             raise ValueError("not a file of packed ids")
-        if check and zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
-            raise ValueError("the file is damaged")
-        at = HEAD.size
-        self.doc_ids = [None if d == NO_ID else d for d in np.frombuffer(data, "<i8", n_docs, at).tolist()]
-        self.ends = np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
+        _, _, self.bits, self.block, n_docs, self.n_ids = HEAD.unpack(head)
+        if check:
+            crc = 0
+            for at in range(0, size - 4, CHUNK):
+                crc = zlib.crc32(self._read(at, min(CHUNK, size - 4 - at)), crc)
+            if self._read(size - 4, 4) != struct.pack("<I", crc):
+                raise ValueError("the file is damaged")
         n_blocks = -(-self.n_ids // self.block)
-        self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, at + 16 * n_docs).astype(np.int64)
-        self.data, self.base = data, at + 16 * n_docs + 8 * (n_blocks + 1)
+        table = np.frombuffer(self._read(HEAD.size, 16 * n_docs + 8 * (n_blocks + 1)), "<i8")
+        self.doc_ids = [None if d == NO_ID else d for d in table[:n_docs].tolist()]
+        self.ends, self.offsets = table[n_docs : 2 * n_docs], table[2 * n_docs :]
+        self.base = HEAD.size + 8 * len(table)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(n)
 
     def ids(self, i: int, j: int) -> np.ndarray:
         if i >= j:
             return np.zeros(0, np.uint32)
+        first, last = i // self.block, (j - 1) // self.block
+        data = self._read(self.base + int(self.offsets[first]), int(self.offsets[last + 1] - self.offsets[first]))
         out = []
-        for b in range(i // self.block, (j - 1) // self.block + 1):
-            n = min(self.block, self.n_ids - b * self.block)
-            out.append(unpack_bits(self.data[self.base + self.offsets[b] : self.base + self.offsets[b + 1]], n, self.bits))
-        first = i // self.block * self.block
-        return np.concatenate(out)[i - first : j - first]
+        for b in range(first, last + 1):
+            n, (a, z) = min(self.block, self.n_ids - b * self.block), self.offsets[b : b + 2] - self.offsets[first]
+            out.append(unpack_bits(data[a:z], n, self.bits))
+        return np.concatenate(out)[i - first * self.block : j - first * self.block]
 
 
 def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, block: int = 4096, file_ids: int = 4 << 20, markers: bool = False) -> DataFrame:
@@ -148,11 +163,11 @@ def read_packed(manifest: DataFrame) -> DataFrame:
     """Each document as the files have it: doc_id, ids before it in all files, number of ids, crc32 of its ids as u32."""
     spark: SparkSession = manifest.sparkSession
     # one row for each task that wrote; their number is that of the write's partitions
-    totals = manifest.groupBy("task").agg(F.sum("n_ids").alias("n")).orderBy("task").collect()
-    base, rows = 0, []
+    totals = manifest.groupBy("task").agg(F.sum("n_ids").alias("n"), F.count(F.lit(1)).alias("files")).orderBy("task").collect()
+    base, rows, n_files = 0, [], 0
     for r in totals:
         rows.append((r.task, base))
-        base += r.n
+        base, n_files = base + r.n, n_files + r.files
     bases = spark.createDataFrame(rows, "task long, base long")
     before = Window.partitionBy("task").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.join(bases, "task").select("path", (F.col("base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("base"))
@@ -163,13 +178,16 @@ def read_packed(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(at) as f:
-                    file = PackedFile(f.read())
-                starts = np.concatenate([[0], file.ends[:-1]])
-                crc = [zlib.crc32(file.ids(i, j).astype("<u4").tobytes()) for i, j in zip(starts.tolist(), file.ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(starts + first), pa.array(file.ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return files.repartition(F.col("path")).mapInArrow(run, RESULT)
+                with store.open_input_file(at) as f:
+                    file = PackedFile(f)
+                    starts = np.concatenate([[0], file.ends[:-1]])
+                    for i, j in slices(np.append(starts, file.n_ids), AT_ONCE):
+                        ids, own = file.ids(int(starts[i]), int(file.ends[j - 1])).astype("<u4"), file.ends[i:j] - starts[i]
+                        crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((starts[i:j] - starts[i]).tolist(), own.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[i:j], pa.int64()), pa.array(starts[i:j] + first), pa.array(file.ends[i:j] - starts[i:j]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    # dealt evenly, to a number of tasks that Spark leaves alone: by their few bytes these rows would all go to one
+    return files.repartition(min(READ_TASKS, -(-n_files // FILES) or 1)).mapInArrow(run, RESULT)
 
 
 def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2, markers: bool = False) -> DataFrame:
