@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from tracelens.llm.textbytes import slices, texts
 
-BATCH = 2 << 20
+BATCH = 1 << 19
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, most: int) -> DataFrame:
-    """(doc_id, text, y) of `most` labelled rows at most that lie in the fold: those with the least hash of their id.
+def chosen_labels(labels: DataFrame, label: str, fold: Column, most: int) -> DataFrame:
+    """(doc_id, y) of `most` labelled rows at most that lie in the fold: those with the least hash of their id.
 
-    The sample of ids is of that size by construction, so it is the side that is broadcast.
+    Hashes beyond what so many rows can need are left out first, so that no part of the table sends its own `most`.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).select("doc_id", F.col(label).cast("int").alias("y"))
+    n = rows.count()
+    share = (most + 8 * most**0.5 + 100) / max(n, 1)
+    if share < 1:
+        rows = rows.where(F.xxhash64("doc_id") < int(-(2.0**63) + share * 2.0**64))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, most: int) -> DataFrame:
+    """(doc_id, text, y) of the rows chosen. Their ids are of that number by construction, so they are the side that is broadcast."""
+    chosen = chosen_labels(labels, label, fold, most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 

@@ -2,8 +2,8 @@
 
 Statistics of whole texts are SQL functions. The learner covers low-quality rows one rule after another: it grows a
 conjunction of thresholds on two thirds of the remaining rows by information gain, prunes its last conditions on the other
-third, and stops when a rule isn't right often enough. It sees at most `max_rows` labelled rows, chosen by a hash of
-their ids and collected as numbers; everything else is DataFrame expressions.
+third, and stops when a rule isn't right often enough. It sees those of at most `max_rows` labelled rows, chosen by a hash
+of their ids, that pass the base rule, as numbers; everything else is DataFrame expressions.
 
 Null or empty text has no words and fails the base rule. Rows that repeat are alike, and labels that repeat or contradict
 are all learned from. Without labels, or with labels of one kind only, the list is empty and keeps all that passes the base
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import WORD, Workspace
+from tracelens.llm.learning import chosen_labels
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_upper", "n_marks", "n_distinct", "n_lines"]
@@ -155,14 +156,15 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_co
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) -> list[Rule]:
-    """Rules from the labelled rows that pass the base rule, max_rows of them at most (least hash of the id first)."""
-    rows = stats.where(~base_failed()).join(labels.where("quality IS NOT NULL").selectExpr("doc_id", "cast(quality as int) quality"), "doc_id")
-    chosen = rows.select(F.xxhash64("doc_id").alias("h"), "quality", *[F.expr(e).alias(f) for f, e in FEATURES.items()])
-    got = chosen.orderBy("h", "quality", *FEATURES).limit(max_rows).collect()
+def fit(work: Workspace, stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) -> list[Rule]:
+    """Rules from the labelled rows that pass the base rule. The labels are chosen before the join: they alone are sorted."""
+    chosen = chosen_labels(labels, "quality", F.lit(True), max_rows)
+    rows = stats.where(~base_failed()).join(F.broadcast(chosen), "doc_id")
+    sample = work.table(rows.select(F.xxhash64("doc_id").alias("h"), "y", *[F.expr(e).alias(f) for f, e in FEATURES.items()]), "sample")
+    got = sorted(sample.collect())  # max_rows rows of numbers, or more only where documents repeat their ids
     if not got:
         return []
-    return learn({f: np.array([r[f] for r in got], float) for f in FEATURES}, np.array([r.quality == 0 for r in got]), **how)
+    return learn({f: np.array([r[f] for r in got], float) for f in FEATURES}, np.array([r.y == 0 for r in got]), **how)
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -177,7 +179,8 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The base counts of each document, the base verdict, and whether it is kept."""
-    stats = Workspace(spark, "quality-rules").table(statistics(docs), "statistics")
-    rejected = verdict(fit(stats, labels, **how))
+    work = Workspace(spark, "quality-rules")
+    stats = work.table(statistics(docs), "statistics")
+    rejected = verdict(fit(work, stats, labels, **how))
     rows = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(F.col("base_failed"), F.lit(None).cast("int")).otherwise(rejected))
     return rows.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
