@@ -44,34 +44,38 @@ RULES = (
 )
 
 
-def _rest(url: Column) -> Column:
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda's variable, so that generated code holds one copy of its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"(?s)^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
+    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_rest(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def identity(url: Column) -> Column:
     """One string for URLs that differ only in scheme, case of host or fragment; null without a host."""
-    query = F.regexp_extract(_rest(url), r"(?s)^[^?#]*(\?[^#]*)?", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)), query))
+
+    def of(url: Column) -> Column:
+        path, query = path_of(url), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+        rest = F.concat(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), query)
+        return _bound(host_of(url), lambda host: F.when(host != "", F.concat(host, rest)))
+
+    return _bound(url, of)
 
 
 def absolute(link: Column, base: Column) -> Column:
     """A link as it stands in a page at base: absolute, without scheme, from the host's root, or beside the page."""
-    scheme = F.regexp_extract(base, r"^[^:/?#]+", 0)
-    beside = F.regexp_extract(path_of(base), r"(?s)^.*/", 0)
+    # scheme and host, and the folder; a base without a path has the root as its folder
+    root, beside = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0), F.regexp_extract(path_of(base), r"(?s)^.*/", 0)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), link))
-        .otherwise(F.concat(scheme, F.lit("://"), host_of(base), F.when(beside == "", F.lit("/")).otherwise(beside), link))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^[^:/?#]+", 0), F.lit(":"), link))
+        .otherwise(F.concat(root, F.when(link.startswith("/"), F.lit("")).when(beside == "", F.lit("/")).otherwise(beside), link))
     )
 
 
@@ -94,7 +98,8 @@ def edges(pages: DataFrame) -> DataFrame:
     head = F.coalesce(F.col("html"), F.lit(""))
     links = F.array(F.regexp_extract(head, CANONICAL, 1), F.regexp_extract(head, REFRESH, 1))
     found = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(links).alias("link")).where("link <> ''")
-    return found.select(identity(F.col("url")).alias("u"), identity(absolute(F.col("link"), F.col("url"))).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    ends = found.select(F.explode(F.array(F.struct(identity(F.col("url")).alias("u"), identity(absolute(F.col("link"), F.col("url"))).alias("v")))).alias("e"))
+    return ends.select("e.u", "e.v").where("u IS NOT NULL AND v IS NOT NULL")
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
