@@ -81,17 +81,24 @@ def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000
     """Edges (u, v) whose components are those of all links between distinct fingerprints within `distance`, 2 at most."""
     if distance > 2:
         raise ValueError("the anchors are chosen for a distance of 2 at most")
-    at = anchored(nodes)
+    # dealt anew, as the nodes may have come back in few files and each becomes 32 rows
+    at = anchored(nodes.repartition("fp"))
     crowded = work.table(at.groupBy("half", "home").count().where(F.col("count") > most).select("half", F.col("home").alias("anchor"), F.lit(True).alias("full")), "crowded")
     homes = at.selectExpr("half", "home AS anchor", "fp AS x").join(crowded, ["half", "anchor"], "left")
     replicas = at.select("half", F.explode("anchors").alias("anchor"), F.col("fp").alias("y"))
     near = F.expr(f"bit_count(x ^ y) <= {distance} AND x < y")
     pairs = homes.where("full IS NULL").drop("full").join(replicas, ["half", "anchor"]).where(near).selectExpr("x AS u", "y AS v")
-    if distance < 2 or not crowded.head(1):
+    if not crowded.head(1):
         return pairs
-    # the rest: all members of crowded anchors, as home or replica, to the points one bit away; the least member stands for a point
+    if distance == 0:
+        return pairs  # distinct fingerprints have no links
+    # the rest: all members of crowded anchors, as home or replica, to the points one bit away; the least member stands for a
+    # point. Members that are one bit apart meet at each other's own place
     members = homes.where("full").select("half", "anchor", F.col("x").alias("fp")).unionAll(replicas.join(crowded, ["half", "anchor"]).selectExpr("half", "anchor", "y AS fp")).select("fp").distinct()
     points = members.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("point"))
+    if distance == 1:
+        # only a member's own place counts there: whoever is within a bit of it has it as a point
+        return pairs.unionAll(points.join(members.selectExpr("fp AS point", "fp AS u"), "point").where("fp <> u").selectExpr("u", "fp AS v"))
     least = points.groupBy("point").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return pairs.unionAll(points.join(least, "point").where("fp <> u").selectExpr("u", "fp AS v"))
 
@@ -122,12 +129,12 @@ def survivors(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFra
     work = Workspace(spark, "survivors")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("dkey").alias("key"), F.col("count").alias("rows"))
     kept = work.table(found.groupBy("root", "doc_id", "dkey").count().groupBy("root").agg(F.min(order).alias("o")).selectExpr("o.id AS __id", "o.key AS __key", "o.rows > 1 AS __many"), "kept")
-    keyed = docs.withColumn("__own", text_key(F.col("doc_id"), F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
-    rows = keyed.join(kept.select("__id", "__key"), same, "left_semi")
+    # the table's own columns travel as one struct, so that none of them can clash with a name used here
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("doc_id"), F.col("text")).alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = keyed.join(kept.select("__id", "__key"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__key")), "left_semi")
     if kept.where("__many").head(1):  # the survivor may itself be repeated
-        rows = rows.dropDuplicates(["doc_id", "__own"])
-    return rows.drop("__own")
+        rows = rows.dropDuplicates(["id", "own"])
+    return rows.select("row.*")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, distance: int = 2) -> DataFrame:
