@@ -66,10 +66,11 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 7, **how) -> DataFrame
     """The mixed documents themselves, with the columns of `docs`; each as often as the mix takes it."""
     work = Workspace(spark, "mixing")
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    rate = work.table(rates(sized, **how).selectExpr("source __of", "rate __rate"), "rates")
-    n = copies(F.col("doc_id"), F.col("__rate"), seed).cast("int")
-    joined = docs.join(rate, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__n", n).where("__n > 0")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
+    rate = work.table(rates(sized, **how).selectExpr("source of", "rate"), "rates")
+    # the documents' own columns travel as one struct, so that none of them can clash with a name used here
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(rate, F.col("source").eqNullSafe(F.col("of"))).select("row", copies(F.col("doc_id"), F.col("rate"), seed).cast("int").alias("n")).where("n > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 #: DuckDB's rows for mix_report with the defaults.
