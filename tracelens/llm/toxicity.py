@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import crc_mod
+from tracelens.llm.common import Workspace, crc_mod
 from tracelens.llm.learning import by_batch, labelled_sample, sigmoid
 from tracelens.llm.textbytes import Sums, slices, texts
 
@@ -86,7 +86,7 @@ def fixed_terms() -> np.ndarray:
     return Sums(np.frombuffer(words, np.uint8)).spans(np.concatenate([[0], ends[:-1]]), ends)
 
 
-def _candidates(sample: DataFrame) -> list[tuple[int, int]]:
+def _candidates(work: Workspace, sample: DataFrame) -> list[tuple[int, int]]:
     """(length, hash as a long) of terms that occur in toxic rows mostly, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +101,8 @@ def _candidates(sample: DataFrame) -> list[tuple[int, int]]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), n, np.int32)), pa.array(term.view(np.int64)), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(term)))], names=["n", "h", "toxic", "all"])
 
     counted = sample.mapInArrow(run, "n int, h long, toxic long, all long").groupBy("n", "h").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
-    found = counted.where("toxic >= 4 AND toxic >= 0.8 * all").orderBy(F.desc("toxic"), "n", "h").limit(MAX_CANDIDATES).select("n", "h").collect()
-    return [(r.n, r.h) for r in found]
+    found = work.table(counted.where("toxic >= 4 AND toxic >= 0.8 * all").orderBy(F.desc("toxic"), "n", "h").limit(MAX_CANDIDATES), "candidates").collect()
+    return [(r.n, r.h) for r in sorted(found, key=lambda r: (-r.toxic, r.n, r.h))]
 
 
 class Voters:
@@ -188,7 +188,7 @@ def classifier(votes: np.ndarray, q: np.ndarray, decay: float = 1e-6, rounds: in
 def fit(docs: DataFrame, labels: DataFrame, fold: Column, most: int = MAX_ROWS) -> Model:
     sample = labelled_sample(docs, labels, "toxic", fold, most).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "y")
     fixed = [(0, int(h)) for h in fixed_terms().view(np.int64)]
-    terms = fixed + [t for t in _candidates(sample) if t not in set(fixed)]
+    terms = fixed + [t for t in _candidates(Workspace(docs.sparkSession, "toxicity"), sample) if t not in set(fixed)]
     candidates = Voters(terms)
 
     def voted(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
