@@ -24,7 +24,19 @@ def test_truncate(spark, limit, want):
         ("sed -i s/a/b/ f", ("edit", ["f"], [], "sed")),
         ("echo x > out", ("write", ["out"], [], "echo")),
         ("sudo pytest -q", ("build", [], [], "pytest")),
-        ("cat a && rm b", ("edit", ["b"], ["a"], "rm")),
+        ("cat a && rm b", ("write", ["b"], ["a"], "rm")),
+        ("bash -c 'cat a.py'", ("read", ["a.py"], [], "cat")),
+        ("git apply x.patch", ("edit", [], [], "git")),
+        ("head -n 50 a.py", ("read", ["a.py"], [], "head")),
+        ("make 2> err.txt", ("write", ["err.txt"], [], "make")),
+        ("cat < in", ("read", ["in"], [], "cat")),
+        ("cp a b", ("write", ["a", "b"], [], "cp")),
+        ("rg needle", ("read", [], [], "rg")),
+        ("timeout 5 env A=1 ruff check", ("build", [], [], "ruff")),
+        ("python -m pytest -q", ("build", [], [], "python")),
+        ("python x.py", ("run", [], [], "python")),
+        ("cat a > b ; ls", ("write", ["b"], ["a"], "cat")),
+        ("true && make ; touch x && sed -i s/a/b/ y", ("edit", ["y"], [], "sed")),
         ("cat a | tee b", ("write", ["b"], ["a"], "tee")),
         ("echo 'unclosed", ("run", [], [], None)),
         ("", ("run", [], [], None)),
@@ -51,10 +63,35 @@ def test_text_columns(spark):
 def test_python_text():
     assert python_text.collapse_runs("a" + "-" * 12) == "a-*12"
     assert python_text.redundancy("") == 0.0 and python_text.redundancy("ab" * 500) > 0.9
-    assert python_text.collapse_diff("\n".join(["x"] * 9 + ["+y"] + ["z"] * 9)).count("...") == 2
+    assert python_text.collapse_diff("todo\n- a\n1\n2\n3\n4\n5\n6\nend") == "todo\n- a\n1\n2\n3\n4\n5\n6\nend"
+    hunk = ["diff --git a b", "@@ -1 +1 @@", *"abcdefgh", "+y", *"ijklmnop", "-z", "q", "@@ -9 +9 @@", "k"]
+    assert python_text.collapse_diff("\n".join(hunk)) == "\n".join(["diff --git a b", "@@ -1 +1 @@", *"fgh", "+y", *"ijk", "...", *"nop", "-z", "q", "@@ -9 +9 @@", "k"])
+    assert python_text.minify_code("def f():\n    # why\n    return 1  // one\n\n/* a\n b */ x\n") == "def f():\n return 1\nx"
+    assert python_text.minify_code("plain words\n\n# here") == "plain words\n\n# here"
+    assert python_text.collapse_progress("a\nCompiling x\n  Fresh y\nUpdating z\nb") == "a\nCompiling x\n  [...2 more cargo lines...]\nb"
+    assert python_text.strip_banners("hi\n  ____/ /_/ / /____\n /_/____|__/_/\n\n\nrest") == "hi\nrest"
+    assert python_text.minify_json('{"a": 1,   "b":   [1, 2]  }') == '{"a":1,"b":[1,2]}' and python_text.minify_json('{"a":1}') is None and python_text.minify_json("x") is None
+    long = "international performance measurement"
+    thin = python_text.drop_characters(long, 0.9)
+    assert thin == python_text.drop_characters(long, 0.9) and len(thin) < len(long) and [w[0] + w[-1] for w in thin.split()] == ["il", "pe", "mt"]
+    assert python_text.drop_characters(long, 0.3) == long
     assert python_text.dedup_reminders("<system-reminder>a</system-reminder>\nq <system-reminder>a</system-reminder>") == "<system-reminder>a</system-reminder>\nq"
 
 
+def test_times(spark):
+    at = F.timestamp_seconds(F.col("s"))
+    colour = lambda age: one(spark, scalar.age_colour(at, F.timestamp_seconds(F.col("s") + age)), s=1_700_000_000)
+    assert [colour(a) for a in (0, 3600, 86400, 10**8)] == ["#00d4aa", "#5ac882", "#b4c850", "#3c2819"]
+    assert one(spark, scalar.age_colour(F.lit(None).cast("timestamp"), at), s=1) == "#555555"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [one(spark, F.unix_timestamp(scalar.parse_time(F.col("t"))), t=t) for t in ("1970-01-01T00:01:00", "1970-01-01T00:01:00Z", "1970-01-01T01:01:00+01:00", "soon")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [60, 60, 60, None]
+    assert one(spark, scalar.tokens_by_size(F.col("n"), F.lit(29), F.lit(False)), n=1400) == 2
+
+
 def test_curve_and_limits(spark):
     at = [one(spark, scalar.aggressiveness(F.col("p")), p=p) for p in (0.0, 0.1, 0.4, 0.9)]
     assert at == [0.2, 0.2, 1.0, 0.2]

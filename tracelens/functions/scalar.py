@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,8 +78,32 @@ def item_tokens(chars: Column) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """ISO times; without an offset they are UTC (the session's zone); anything else is null."""
-    return F.try_to_timestamp(text)
+    """ISO times; without an offset they are UTC, whatever the session's zone is; anything else is null."""
+    zoned = text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(zoned | ~text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), text).otherwise(F.concat(text, F.lit("Z"))))
+
+
+# fixed values: seconds of age and the red, green and blue at them
+AGE_STOPS = ((0, (0, 212, 170)), (3600, (90, 200, 130)), (86400, (180, 200, 80)), (7 * 86400, (170, 130, 60)), (30 * 86400, (110, 70, 35)), (90 * 86400, (60, 40, 25)))
+
+
+def age_colour(ts: Column, now: Column) -> Column:
+    """#rrggbb from fresh to old, even in the logarithm of the age between stops; #555555 without a time."""
+    s = F.greatest(now.cast("double") - ts.cast("double"), F.lit(0.0))
+    ends = [(math.log1p(a), ca, math.log1p(b), cb) for (a, ca), (b, cb) in zip(AGE_STOPS, AGE_STOPS[1:])]
+    parts = []
+    for k in range(3):
+        part = F.lit(AGE_STOPS[-1][1][k])
+        for (stop, _), (a, ca, b, cb) in list(zip(AGE_STOPS[1:], ends))[::-1]:
+            between = F.bround(F.lit(float(ca[k])) + F.lit(float(cb[k] - ca[k])) * (F.log1p(s) - F.lit(a)) / F.lit(b - a)).cast("int")
+            part = F.when(s < stop, between).otherwise(part)
+        parts.append(F.lower(F.lpad(F.hex(part), 2, "0")))
+    return F.when(ts.isNull(), F.lit("#555555")).otherwise(F.concat(F.lit("#"), *parts))
+
+
+def tokens_by_size(size: Column, line_count: Column, has_exchanges: Column) -> Column:
+    """Estimate without counts: a fourteenth of the bytes, or of the lines where there are no exchanges."""
+    return F.floor(F.when(has_exchanges, size).otherwise(line_count) / 14).cast("long")
 
 
 def relative_age(ts: Column, now: Column) -> Column:

@@ -30,7 +30,8 @@ CHECKS = {
     "stale_tokens": "warning",
     "oversized_sessions": "info",
 }
-API_ERRORS = ("API Error", "overloaded_error", "invalid_request_error", "rate_limit_error")
+# fixed values: texts that an interface leaves behind when a request fails
+API_ERRORS = ("400 invalid_request_error", "tool_use_ids were found without tool_result", "each `assistant` message must be followed", "API Error: 400")
 
 
 def diagnose(records: DataFrame, checks: dict[str, Column]) -> DataFrame:

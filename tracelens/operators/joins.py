@@ -23,7 +23,7 @@ def missing(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def band(left: DataFrame, right: DataFrame, key: list[str], width: int, order: str = "pos") -> DataFrame:
-    """For each left row the closest right row among the `width` positions before it, if any.
+    """For each left row the first right row among the `width` positions before it, if any.
 
     Positions fall into blocks of `width`; a left row looks in its block and the one before, so the join is an equi-join.
     """
@@ -31,7 +31,7 @@ def band(left: DataFrame, right: DataFrame, key: list[str], width: int, order: s
     r = right.select(*key, F.col(order).alias("__pos"), F.col("event_id").alias("match"), block.alias("__block"))
     l = left.withColumn("__block", F.explode(F.array(block, block - 1)))
     hit = l.join(r, [*key, "__block"]).where((F.col("__pos") < F.col(order)) & (F.col("__pos") >= F.col(order) - width))
-    return hit.groupBy(*[c for c in left.columns]).agg(F.max_by("match", "__pos").alias("match"))
+    return hit.groupBy(*[c for c in left.columns]).agg(F.min_by("match", "__pos").alias("match"))
 
 
 def restore(backup: DataFrame, now: DataFrame, key: str) -> DataFrame:

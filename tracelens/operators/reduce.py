@@ -61,9 +61,13 @@ def system_dedup(records: DataFrame, role: str = "role", body: str = "text") ->
     return keep_first(systems, [F.md5(F.col(body).cast("binary"))]).unionByName(records.where(F.col(role).isNull() | (F.col(role) != "system")))
 
 
-def boundary_collapse(records: DataFrame, boundary: Column, protected: Column, singleton: Column | None = None, type_: str = "event_type") -> DataFrame:
-    """Without what lies before a session's last boundary, but for protected records and singletons of types that don't come again."""
-    at = records.where(boundary).groupBy("session_id").agg(F.max("pos").alias("boundary"))
+def boundary_collapse(records: DataFrame, boundary: Column, protected: Column, singleton: Column | None = None, type_: str = "event_type", preserves: Column | None = None) -> DataFrame:
+    """Without what lies before a session's last boundary, but for protected records and singletons of types that don't come again.
+
+    A last boundary that preserves a segment (`preserves`) collapses nothing.
+    """
+    at = records.where(boundary).groupBy("session_id").agg(F.max("pos").alias("boundary"), F.max_by(F.coalesce(preserves, F.lit(False)) if preserves is not None else F.lit(False), F.col("pos")).alias("__whole"))
+    at = at.where("NOT __whole").drop("__whole")
     rows = records.join(at, "session_id", "left")
     after = rows.where("pos >= boundary").select(F.col("session_id").alias("__session"), F.col(type_).alias("__type")).distinct()
     keep = F.col("boundary").isNull() | (F.col("pos") >= F.col("boundary")) | protected

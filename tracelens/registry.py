@@ -383,7 +383,7 @@ def j10_summary_graft(spark, d):
     return relink.nearest_before(t.ev(spark, d), accept=F.col("kind").isin("read", "edit")).select("event_id", "nearest")
 
 
-@query("SELECT e.event_id, max_by(r.event_id, r.pos) AS match FROM ev e JOIN ev r ON e.session_id = r.session_id AND e.path = r.path AND r.kind = 'read' AND r.pos < e.pos AND r.pos >= e.pos - 10 WHERE e.kind = 'edit' GROUP BY 1", t.EV)
+@query("SELECT e.event_id, min_by(r.event_id, r.pos) AS match FROM ev e JOIN ev r ON e.session_id = r.session_id AND e.path = r.path AND r.kind = 'read' AND r.pos < e.pos AND r.pos >= e.pos - 10 WHERE e.kind = 'edit' GROUP BY 1", t.EV)
 def j11_band_join(spark, d):
     e = t.ev(spark, d).select("session_id", "path", "pos", "event_id", "kind")
     return joins.band(e.where("kind = 'edit'"), e.where("kind = 'read'"), ["session_id", "path"], 10).select("event_id", "match")
