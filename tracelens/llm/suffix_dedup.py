@@ -48,6 +48,7 @@ STRING = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("text", "<u4"), ("start", "<u4
 
 
 def anchor_length(length: int) -> int:
+    """Shorter anchors give longer, and so fewer, runs, but meet by chance more often."""
     return max(1, min(128, length // 3))
 
 
@@ -228,8 +229,10 @@ def _covered(work: Workspace, dealt: DataFrame, rows: DataFrame, length: int, sh
     repeats = found.where("packed IS NULL").select("h", "seg", "f", "t")
     if split.head(1):
         repeats = repeats.unionAll(_merged(found.where("packed IS NOT NULL"), work))
-    spans = met.join(repeats, ["h", "seg"]).selectExpr("did", "dkey", "a + f AS f", "a + t AS t")
-    return spans.groupBy("did", "dkey").agg(F.collect_list(F.struct("f", "t")).alias("spans"))
+    # a run text's ranges are one row: they lie in its few hundred starts
+    ranges = repeats.groupBy("h", "seg").agg(F.collect_list(F.struct("f", "t")).alias("ranges"))
+    spans = met.join(ranges, ["h", "seg"]).select("did", "dkey", F.expr("transform(ranges, x -> struct(a + x.f AS f, a + x.t AS t))").alias("spans"))
+    return spans.groupBy("did", "dkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _spans(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
