@@ -81,8 +81,8 @@ def test_reduction(recs):
     stats = {r.name: r.value for r in out.stats.collect()}
     assert stats["progress"] == 1 and stats["dup_system"] == 1 and stats["reparented"] == 1 and stats["metadata_fields_stripped"] == 1
     assert "sessionId" not in json.loads(kept["s"].raw)
-    # in the middle of the session the stale read goes; near its end a passing build stays
-    assert json.loads(kept["r1"].raw)["message"]["content"][0]["content"] == "[stale: file was later edited]"
+    # in the middle of the session a long read becomes one line, before its staleness counts; near its end a passing build stays
+    assert json.loads(kept["r1"].raw)["message"]["content"][0]["content"] == "[Read: 51 lines]"
     assert json.loads(kept["r3"].raw)["message"]["content"][0]["content"] == "3 passed in 1s"
     assert out.before.agg(F.sum("chars")).head()[0] > out.after.agg(F.sum("chars")).head()[0]
 
@@ -125,3 +125,59 @@ def test_edits_keep_keys_in_order():
     raw = '{"b":1,"a":{"x":1.0},"sessionId":"s","message":{"content":"héllo"}}'
     out = ts._edited(raw, [{"op": "drop_field", "field": "sessionId", "bi": None, "value": None}, {"op": "text", "field": None, "bi": 0, "value": "é"}])
     assert out == '{"b":1,"a":{"x":1.0},"message":{"content":"\\u00e9"}}'
+
+
+def golden():
+    """Two systems (one a boundary), its summary, pairs with calls and a repeated text, noise, snapshots, protected records."""
+    out = [{"type": "system", "uuid": "s0", "message": {"content": "rules"}}, user("old", "s0", "long ago")]
+    out.append({"type": "system", "uuid": "b0", "parentUuid": "old", "subtype": "compact_boundary", "message": {"content": "compacted"}})
+    out.append(user("sum", "b0", "This session is being continued from a previous conversation", isCompactSummary=True))
+    out.append({"type": "worktree-state", "uuid": "w0", "parentUuid": "sum", "message": {"role": "user", "content": "keep me"}})
+    last, text = "w0", "the same long text again and again, word after word. " * 40
+    for k in range(12):
+        out.append(user(f"q{k}", last, "yes" if k == 5 else f"please do step {k}: " + text))
+        out.append(call(f"c{k}", f"q{k}", f"t{k}", "Bash", {"command": f"pytest -q test_{k}.py"}))
+        out.append({"type": "progress", "uuid": f"p{k}", "parentUuid": f"c{k}", "data": {}})
+        out.append(result(f"r{k}", f"p{k}", f"t{k}", f"{k + 1} passed in 1s\n" + f"line {k} of output\n" * 60) | {"toolUseResult": {"stdout": f"x{k}\n" * 3000}})
+        last = f"r{k}"
+    for k in range(3):
+        out.append(call(f"e{k}", last, f"edit{k}", "Edit", {"file_path": "/a.py", "old_string": f"old {k} " * 40, "new_string": f"new {k} " * 40}))
+        out.append(result(f"er{k}", f"e{k}", f"edit{k}", "ok"))
+        last = f"er{k}"
+    out += [{"type": "file-history-snapshot", "uuid": f"f{k}", "messageId": "m", "parentUuid": last} for k in range(2)]
+    out.append({"type": "attribution-snapshot", "uuid": "at", "parentUuid": last})
+    out.append(result("lone", last, "nobody", "an orphan"))
+    out.append(user("big", "lone", [{"type": "text", "text": "z y x w v. " * 4000}]))
+    for k in range(6):
+        out.append(user(f"z{k}", "big" if not k else f"z{k - 1}", f"and then {k}", cwd="/x", version="1"))
+    return out
+
+
+def as_records(spark, objects):
+    rows = [(s, "f", i, i, json.dumps(o)) for s in ("one", "two") for i, o in enumerate(objects)]
+    return ts.records(spark.createDataFrame(rows, "session_id string, file string, line_no int, pos int, raw string").withColumn("v", F.try_parse_json("raw")))
+
+
+def test_reduction_keeps_its_invariants(spark):
+    recs = as_records(spark, golden()).cache()
+    out = reduction.reduce_transcripts(recs)
+    rows = out.kept.where("session_id = 'one'").orderBy("pos").collect()
+    kept = {r.uuid: json.loads(r.raw) for r in rows}
+    stats = {r.name: r.value for r in out.stats.where("session_id = 'one'").collect()}
+    # protected records stay, nothing is there twice, order stays
+    assert {"w0", "b0", "sum"} <= set(kept) and len(kept) == len(rows) and [r.pos for r in rows] == sorted(r.pos for r in rows)
+    # noise, what the boundary replaced, all but the last snapshot, and orphans have gone
+    assert not {"old", "s0", "f0", "at", "lone", *[f"p{k}" for k in range(12)]} & set(kept) and "f1" in kept
+    # each parent is there, or was never a record that this session dropped on a chain with an end
+    assert all(o.get("parentUuid") in kept or o["uuid"] == "b0" for o in kept.values())
+    blocks = [b for o in kept.values() for b in (o.get("message") or {}).get("content") or [] if isinstance(b, dict)]
+    assert {b["tool_use_id"] for b in blocks if b["type"] == "tool_result"} <= {b["id"] for b in blocks if b["type"] == "tool_use"}
+    assert sum(len(r.raw) for r in rows) < 0.6 * sum(len(json.dumps(o)) for o in golden())
+    assert stats["progress"] == 12 and stats["orphaned_tool_results"] == 1 and stats["attribution_snapshots_stripped"] == 1 and stats["compact_collapse_drops"] >= 1
+    assert stats["confirmations_removed"] >= 1 and stats["passing_builds_collapsed"] >= 1 and kept["q5"]["message"]["content"].startswith("[confirm")
+    assert not any("usage" in o.get("message", {}) for o in kept.values()) and not any("cwd" in kept[f"z{k}"] for k in range(6))
+    # both sessions share uuids, and neither gets the other's records
+    assert out.kept.where("session_id = 'two'").count() == len(rows)
+    again = spark.createDataFrame([(r.session_id, "f", k, k, r.raw) for k, r in enumerate(rows)], "session_id string, file string, line_no int, pos int, raw string").withColumn("v", F.try_parse_json("raw"))
+    second = reduction.reduce_transcripts(ts.records(again)).kept.agg(F.sum(F.length("raw"))).head()[0]
+    assert abs(second - sum(len(r.raw) for r in rows)) <= 0.05 * sum(len(r.raw) for r in rows)

@@ -31,10 +31,10 @@ TOOL_NAMES = {"exec_command": "Bash"}
 CALLS = ("function_call", "custom_tool_call", "tool_search_call")
 OUTPUTS = ("function_call_output", "custom_tool_call_output", "tool_search_output")
 
-BLOCK = T.StructType([T.StructField(n, t) for n, t in (("btype", T.StringType()), ("text", T.StringType()), ("tool_use_id", T.StringType()), ("tool_name", T.StringType()), ("input", T.StringType()), ("is_error", T.BooleanType()))])
+BLOCK = T.StructType([T.StructField(n, t) for n, t in (("btype", T.StringType()), ("text", T.StringType()), ("tool_use_id", T.StringType()), ("tool_name", T.StringType()), ("input", T.StringType()), ("is_error", T.BooleanType()), ("plain", T.BooleanType()))])
 NORMAL = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("type", "subtype", "role", "uuid", "parent_uuid", "logical_parent_uuid", "ts", "message_id", "content_shape", "content_str")]
-    + [T.StructField(n, T.BooleanType()) for n in ("is_sidechain", "is_compact_summary", "visible_only", "preserved")]
+    + [T.StructField(n, T.BooleanType()) for n in ("is_sidechain", "is_compact_summary", "visible_only", "preserved", "preserves_segment")]
     + [T.StructField("usage", T.StructType([T.StructField(n, T.LongType()) for n in ("input", "cache_read", "cache_create")])), T.StructField("blocks", T.ArrayType(BLOCK))]
 )
 
@@ -96,7 +96,7 @@ def _block(b: Any) -> dict | None:
     kind = str(b.get("type") or "text")
     text = {"thinking": b.get("thinking"), "tool_result": _text_of(b.get("content"))}.get(kind, b.get("text"))
     ident = b.get("id") if kind == "tool_use" else b.get("tool_use_id")
-    return {"btype": kind, "text": text if isinstance(text, str) else None, "tool_use_id": ident if isinstance(ident, str) else None, "tool_name": b.get("name") if isinstance(b.get("name"), str) else None, "input": json.dumps(b["input"], sort_keys=True, separators=(",", ":")) if "input" in b else None, "is_error": bool(b.get("is_error"))}
+    return {"btype": kind, "text": text if isinstance(text, str) else None, "tool_use_id": ident if isinstance(ident, str) else None, "tool_name": b.get("name") if isinstance(b.get("name"), str) else None, "input": json.dumps(b["input"], sort_keys=True, separators=(",", ":")) if "input" in b else None, "is_error": bool(b.get("is_error")), "plain": isinstance(b.get("content"), str)}
 
 
 def _blocks(content: Any) -> tuple[str | None, list[dict]]:
@@ -123,7 +123,7 @@ def _plain(o: dict) -> dict:
     return {
         "type": s(o.get("type")), "subtype": s(o.get("subtype")) or s(m.get("subtype")), "role": s(m.get("role")), "uuid": s(o.get("uuid")), "parent_uuid": s(o.get("parentUuid")), "logical_parent_uuid": s(o.get("logicalParentUuid")),
         "ts": s(o.get("timestamp")), "message_id": s(o.get("messageId")), "content_shape": shape, "content_str": m.get("content") if shape == "str" else None, "is_sidechain": bool(o.get("isSidechain")),
-        "is_compact_summary": bool(o.get("isCompactSummary")), "visible_only": bool(o.get("isVisibleInTranscriptOnly")), "preserved": any(k.startswith("__") and k.endswith("_preserved__") and bool(v) for k, v in o.items()), "usage": _usage(m.get("usage")), "blocks": blocks,
+        "is_compact_summary": bool(o.get("isCompactSummary")), "visible_only": bool(o.get("isVisibleInTranscriptOnly")), "preserved": any(k.startswith("__") and k.endswith("_preserved__") and bool(v) for k, v in o.items()), "preserves_segment": bool(o.get("hasPreservedSegment")), "usage": _usage(m.get("usage")), "blocks": blocks,
     }
 
 
@@ -210,8 +210,8 @@ def verb_events(blks: DataFrame) -> DataFrame:
 
 def catalogue(recs: DataFrame) -> DataFrame:
     """One row per session: records, times, last branch, first user text, tokens of the last use."""
-    branch = F.regexp_extract("raw", r'"gitBranch"\s*:\s*"([^"]{1,200})"', 1)
-    plausible = (branch != "") & ~branch.contains(" ")
+    branch = F.get_json_object("raw", "$.gitBranch")  # of the record itself, not of a text that quotes one
+    plausible = F.coalesce(branch != "", F.lit(False)) & ~branch.contains(" ") & (F.length("raw") > 0)
     total = F.when(F.col("usage").isNotNull(), scalar.usage_total(F.col("usage")))
     return recs.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("file").alias("files"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by(branch, F.when(plausible, F.col("pos"))).alias("branch"),
@@ -246,6 +246,22 @@ def apply_edits(recs: DataFrame, edits: DataFrame) -> DataFrame:
     return recs.join(listed, ["session_id", "pos"], "left").withColumn("raw", put("raw", "edits")).drop("edits")
 
 
+def with_parents(recs: DataFrame) -> DataFrame:
+    """recs with their parents put into the lines that hold others; a key that a line does not have is not added."""
+
+    @F.pandas_udf(T.StringType())
+    def put(raw: pd.Series, parent: pd.Series, logical: pd.Series) -> pd.Series:
+        return pd.Series([_linked(r, (("parentUuid", p), ("logicalParentUuid", q))) for r, p, q in zip(raw, parent, logical, strict=True)])
+
+    return recs.withColumn("raw", F.when(F.col("reparented"), put("raw", "parent_uuid", "logical_parent_uuid")).otherwise(F.col("raw")))
+
+
+def _linked(raw: str, parents: tuple[tuple[str, str | None], ...]) -> str:
+    o = json.loads(raw)
+    o.update({k: p for k, p in parents if k in o and isinstance(p, str)})
+    return json.dumps(o, separators=(",", ":"))
+
+
 def _edited(raw: str, todo: Any) -> str:
     o = json.loads(raw)
     for e in todo:
