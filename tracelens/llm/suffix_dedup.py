@@ -229,8 +229,9 @@ def _covered(work: Workspace, dealt: DataFrame, rows: DataFrame, length: int, sh
     repeats = found.where("packed IS NULL").select("h", "seg", "f", "t")
     if split.head(1):
         repeats = repeats.unionAll(_merged(found.where("packed IS NOT NULL"), work))
-    # a run text's ranges are one row: they lie in its few hundred starts
-    ranges = repeats.groupBy("h", "seg").agg(F.collect_list(F.struct("f", "t")).alias("ranges"))
+    # a run text's ranges are one row: they lie in its few hundred starts. Written down, so that the join below, too, is of
+    # two plain exchanges, which Spark can split where one text has many copies
+    ranges = work.table(repeats.groupBy("h", "seg").agg(F.collect_list(F.struct("f", "t")).alias("ranges")), "ranges")
     spans = met.join(ranges, ["h", "seg"]).select("did", "dkey", F.expr("transform(ranges, x -> struct(a + x.f AS f, a + x.t AS t))").alias("spans"))
     return spans.groupBy("did", "dkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
