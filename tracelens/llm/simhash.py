@@ -27,6 +27,8 @@ from tracelens.llm.textbytes import texts
 
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 CHUNK = 1 << 16
+#: Each becomes 32 rows.
+NODES_A_TASK = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -81,8 +83,10 @@ def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000
     """Edges (u, v) whose components are those of all links between distinct fingerprints within `distance`, 2 at most."""
     if distance > 2:
         raise ValueError("the anchors are chosen for a distance of 2 at most")
-    # dealt anew, as the nodes may have come back in few files and each becomes 32 rows
-    at = anchored(nodes.repartition("fp"))
+    # dealt anew, as the nodes may have come back in few files and each becomes 32 rows; with a number given, as Spark would
+    # join small partitions again otherwise. The count is of a written table, so it reads footers only
+    parts = max(work.spark.sparkContext.defaultParallelism, -(-nodes.count() // NODES_A_TASK))
+    at = anchored(nodes.repartition(parts, "fp"))
     crowded = work.table(at.groupBy("half", "home").count().where(F.col("count") > most).select("half", F.col("home").alias("anchor"), F.lit(True).alias("full")), "crowded")
     homes = at.selectExpr("half", "home AS anchor", "fp AS x").join(crowded, ["half", "anchor"], "left")
     replicas = at.select("half", F.explode("anchors").alias("anchor"), F.col("fp").alias("y"))
