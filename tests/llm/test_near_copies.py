@@ -99,3 +99,22 @@ def test_sets_do_not_depend_on_how_texts_are_batched():
     whole = [s.tolist() for s in near_copies.shingle_sets(data, ends)]
     alone = [next(iter(near_copies.shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)])))).tolist() for t in given]
     assert whole == alone and list(map(len, whole)) == [2, 0, 1, 4, 2] and set(whole[0]) < set(whole[3])
+
+
+def test_simhash_links_are_a_step_of_the_stage(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)] for _ in range(12)]
+    texts = [" ".join(w) for b in base for w in (b, [*b[:150], "p", *b[151:]])]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts, texts[0], "", None])], SCHEMA)
+    seen, real = [], near_copies.linked
+    monkeypatch.setattr(near_copies, "linked", lambda work, nodes: seen.append((nodes, real(work, nodes))) or seen[-1][1])
+    assert near_copies.classes(spark, df).select("root").distinct().count() == 13
+    nodes, pairs = seen[0]
+    fp = {r.node: r.fp & (1 << 64) - 1 for r in nodes.select("node", "fp").collect()}
+    node = [near_copies.node_of(next(iter(near_copies.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))))) for t in texts]
+    got = {(r.u, r.v) for r in pairs.collect()}
+    assert all((fp[u] ^ fp[v]).bit_count() <= near_copies.WIDE for u, v in got)
+    twins = {tuple(sorted(node[i : i + 2])) for i in range(0, len(node), 2)}
+    close = {p for p in twins if (fp[p[0]] ^ fp[p[1]]).bit_count() <= 2}
+    assert close and close <= got
+    assert any((fp[u] ^ fp[v]).bit_count() > 2 for u, v in got & twins)

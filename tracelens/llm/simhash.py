@@ -31,6 +31,14 @@ CHUNK = 1 << 16
 NODES_A_TASK = 1 << 18
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none for no hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     from xxhash import xxh64_intdigest
 
@@ -44,10 +52,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = [0, *(ends[: n - shingle] + 1).tolist()]
     hashes = np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), CHUNK):
-        ones += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -79,8 +84,12 @@ def anchored(nodes: DataFrame) -> DataFrame:
     return home.select("fp", "half", "home", F.expr(f"CASE WHEN s = 0 THEN array(v) ELSE concat(array(home), {pairs}) END").alias("anchors"))
 
 
-def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000) -> DataFrame:
-    """Edges (u, v) whose components are those of all links between distinct fingerprints within `distance`, 2 at most."""
+def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000, wide: int = 0) -> DataFrame:
+    """Edges (u, v) whose components are those of all links between distinct fingerprints within `distance`, 2 at most.
+
+    With `wide`, also those that meet at an anchor within so many bits, for callers that check edges themselves: one half of
+    the two is alike there, and the other may differ more. Not all within `wide` meet.
+    """
     if distance > 2:
         raise ValueError("the anchors are chosen for a distance of 2 at most")
     # dealt anew, as the nodes may have come back in few files and each becomes 32 rows; with a number given, as Spark would
@@ -90,7 +99,7 @@ def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000
     crowded = work.table(at.groupBy("half", "home").count().where(F.col("count") > most).select("half", F.col("home").alias("anchor"), F.lit(True).alias("full")), "crowded")
     homes = at.selectExpr("half", "home AS anchor", "fp AS x").join(crowded, ["half", "anchor"], "left")
     replicas = at.select("half", F.explode("anchors").alias("anchor"), F.col("fp").alias("y"))
-    near = F.expr(f"bit_count(x ^ y) <= {distance} AND x < y")
+    near = F.expr(f"bit_count(x ^ y) <= {max(distance, wide)} AND {'x <> y' if wide else 'x < y'}")
     pairs = homes.where("full IS NULL").drop("full").join(replicas, ["half", "anchor"]).where(near).selectExpr("x AS u", "y AS v")
     if not crowded.head(1):
         return pairs
