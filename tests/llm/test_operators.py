@@ -361,6 +361,21 @@ def test_suffix_dedup_of_a_hot_passage(spark):
         assert rows(suffix_dedup.report(spark, df, shard=shard)) == sorted(want, key=repr)
 
 
+def test_a_line_repeated_in_a_text_is_a_row_for_each_of_its_runs(spark, monkeypatch):
+    met, real = [], suffix_dedup.Workspace.table
+    monkeypatch.setattr(suffix_dedup.Workspace, "table", lambda self, df, name: met.append((name, real(self, df, name))) or met[-1][1])
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line = prose(20) + "\n"
+    given = [(i, prose(i * 20) + line * 60 + prose(60 - i)) for i in range(6)] + [(6, prose(80)), (7, line * 2), (8, line * 60), (8, line * 60)]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    want = [(i, *w) for (i, _), w in zip(given, brute_removal([t.encode() for _, t in given], 400))]
+    assert rows(suffix_dedup.report(spark, df)) == sorted(want, key=repr)
+    table = next(t for name, t in met if name == "met")
+    # a copy for each line in a text before
+    assert table.count() < 100 and table.agg(F.max(F.size("a"))).head()[0] > 50
+
+
 def test_deduplicated_texts_keep_columns_and_characters(spark, docs):
     out = suffix_dedup.deduplicated(spark, docs)
     assert out.columns == docs.columns and out.count() == docs.count()
