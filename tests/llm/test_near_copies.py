@@ -146,3 +146,15 @@ def test_links_of_a_large_group_of_near_copies_grow_with_its_size(spark):
         assert {u for p in pairs for u in p} == set(range(len(fps))) and all(bits(u, v) <= near_copies.WIDE for u, v in pairs)
         linked = {u for p in pairs if bits(*p) <= 2 for u in p}
         assert linked == {u for u in range(len(fps)) if any(u != v and bits(u, v) <= 2 for v in range(len(fps)))}
+
+
+def test_anchors_are_written_once_and_joined_by_a_merge(spark):
+    """A fingerprint has 32 places, which Spark would take for one row and broadcast: 805 MB over the 0.5 GB table."""
+    work = simhash.Workspace(spark, "test-anchors")
+    nodes = spark.range(4000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(work, nodes)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "bit_count((x" in x and "Join" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins), plan
+    assert "Generate" not in plan, plan
+    rows = simhash.anchored(nodes).selectExpr("sum(size(anchors))").first()[0]
+    assert simhash.placed(simhash.Workspace(spark, "test-places"), nodes).count() == rows > 100_000

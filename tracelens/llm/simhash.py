@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import Workspace, text_key
+from tracelens.llm.common import Workspace, grows, text_key
 from tracelens.llm.graph import components
 from tracelens.llm.textbytes import texts
 
@@ -90,27 +90,39 @@ def _dealt(work: Workspace, nodes: DataFrame) -> DataFrame:
     return nodes.repartition(max(work.spark.sparkContext.defaultParallelism, -(-nodes.count() // NODES_A_TASK)), "fp")
 
 
-def stars(work: Workspace, nodes: DataFrame, within: int) -> DataFrame:
+def placed(work: Workspace, nodes: DataFrame) -> DataFrame:
+    """(half, anchor, fp, own) for each anchor within 2 of each distinct fingerprint's halves; own: it is the home. Written down,
+    as all that meet at anchors read it, and so that Spark sizes it by its 32 rows a fingerprint rather than by the table it
+    is made of."""
+    at = anchored(_dealt(work, nodes))
+    return work.table(at.select("half", F.explode("anchors").alias("anchor"), "fp", "home").selectExpr("half", "anchor", "fp", "anchor = home AS own"), "places")
+
+
+def stars(work: Workspace, places: DataFrame, within: int) -> DataFrame:
     """Edges (u, v) within so many bits, more than 2, for callers that check edges themselves: at each anchor, of the distinct
     fingerprints that are there as home or replica with the least that has its home there. One half of the two is alike there,
     and the other may differ more. An edge at most for each place of a fingerprint, however many meet at an anchor."""
-    at = anchored(_dealt(work, nodes))
     # written down, so that the join below is of two plain exchanges, which Spark can split where one anchor is frequent
-    centres = work.table(at.selectExpr("half", "home AS anchor", "fp").groupBy("half", "anchor").agg(F.min("fp").alias("u")), "centres")
-    places = at.select("half", F.explode("anchors").alias("anchor"), F.col("fp").alias("v"))
-    return places.join(centres, ["half", "anchor"]).where(F.expr(f"bit_count(u ^ v) <= {within} AND u <> v")).select("u", "v")
+    centres = work.table(places.where("own").groupBy("half", "anchor").agg(F.min("fp").alias("u")), "centres")
+    met = grows(places.selectExpr("half", "anchor", "fp AS v")).join(grows(centres), ["half", "anchor"])
+    return met.where(F.expr(f"bit_count(u ^ v) <= {within} AND u <> v")).select("u", "v")
 
 
 def links(work: Workspace, nodes: DataFrame, distance: int = 2, most: int = 2000) -> DataFrame:
     """Edges (u, v) whose components are those of all links between distinct fingerprints within `distance`, 2 at most."""
     if distance > 2:
         raise ValueError("the anchors are chosen for a distance of 2 at most")
-    at = anchored(_dealt(work, nodes))
-    crowded = work.table(at.groupBy("half", "home").count().where(F.col("count") > most).select("half", F.col("home").alias("anchor"), F.lit(True).alias("full")), "crowded")
-    homes = at.selectExpr("half", "home AS anchor", "fp AS x").join(crowded, ["half", "anchor"], "left")
-    replicas = at.select("half", F.explode("anchors").alias("anchor"), F.col("fp").alias("y"))
+    return links_at(work, placed(work, nodes), distance, most)
+
+
+def links_at(work: Workspace, places: DataFrame, distance: int, most: int) -> DataFrame:
+    """links, of fingerprints whose places are written down."""
+    own = places.where("own")
+    crowded = work.table(own.groupBy("half", "anchor").count().where(F.col("count") > most).select("half", "anchor", F.lit(True).alias("full")), "crowded")
+    homes = own.selectExpr("half", "anchor", "fp AS x").join(crowded, ["half", "anchor"], "left")
+    replicas = places.selectExpr("half", "anchor", "fp AS y")
     near = F.expr(f"bit_count(x ^ y) <= {distance} AND x < y")
-    pairs = homes.where("full IS NULL").drop("full").join(replicas, ["half", "anchor"]).where(near).selectExpr("x AS u", "y AS v")
+    pairs = grows(homes.where("full IS NULL").drop("full")).join(grows(replicas), ["half", "anchor"]).where(near).selectExpr("x AS u", "y AS v")
     if not crowded.head(1):
         return pairs
     if distance == 0:
