@@ -105,3 +105,22 @@ def test_routing(spark):
     df = spark.createDataFrame([("a. " + "b" * 500, 0.9), ("short", 0.9)], "text string, aggr double")
     out = routing.distill(routing.classify(df, routing.HeadProvider()), routing.HeadProvider()).collect()
     assert sorted(r.new_text for r in out) == ["a", "short"]
+
+
+def test_functions_of_documents_hold_one_text_at_a_time():
+    """A batch of documents stays in Arrow; as strings of pandas it was in hand twice, four times where a letter lies beyond Latin."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{k} " + "слово word " * 400 for k in range(2000)] + [None, ""])
+    for of, others in ((python_text.entropy_ratio, ()), (python_text.structural("standard", "/home/me"), (pa.array([0.0] * len(texts)),))):
+        tracemalloc.start()
+        try:
+            out = of.func(texts, *others)
+            peak = tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+        assert len(out) == len(texts) and peak < 1, peak
+    ratios = python_text.entropy_ratio.func(texts).to_pylist()
+    assert ratios == [python_text.redundancy(t or "") for t in texts.to_pylist()]
